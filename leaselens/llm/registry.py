@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, quality_classifier
+from . import line_dedup, mixing, ngram_join, packing, quality_classifier, token_counts
 
-MODULES = (mixing, packing, line_dedup, quality_classifier)
+MODULES = (token_counts, mixing, packing, line_dedup, quality_classifier, ngram_join)
 
 
 def queries() -> dict:
