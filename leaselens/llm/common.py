@@ -29,15 +29,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share.
 
-    The cluster names that folder in spark.checkpoint.dir; a folder of our own
-    is set only where the setting is absent, as in local tests.
+    The cluster names it in spark.checkpoint.dir; a folder of our own is set
+    only where the setting is absent, as in local tests.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="leaselens-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and written to shared_folder()."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
