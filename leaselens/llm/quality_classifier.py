@@ -23,7 +23,7 @@ FEATURES = ("upper", "symbols", "pipes", "exclaims", "digits", "repeats", "word_
 #: Rows of each class that the fit may use, taken in hash order of doc_id; the only bound in this module.
 SAMPLE_PER_CLASS = 4000
 PAIRS_PER_GOOD = 5
-GOOD_QUANTILE, POOR_QUANTILE = 0.002, 0.998
+GOOD_QUANTILE, POOR_QUANTILE = 0.0005, 0.99
 BINS = 1000
 
 _KINDS = np.zeros((7, 256), np.float32)
