@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
+from . import language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, webp
 
-MODULES = (token_counts, mixing, packing, line_dedup, quality_classifier, ngram_join, suffix_dedup, language_id, quality_rules)
+MODULES = (token_counts, mixing, packing, line_dedup, quality_classifier, ngram_join, suffix_dedup, language_id, quality_rules, webp)
 
 
 def queries() -> dict:
