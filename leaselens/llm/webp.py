@@ -470,10 +470,10 @@ def _write_pixels(w: Writer, x: list[int], width: int, main: bool, cache_bits: i
     if main:
         w.put(int(block > 0), 1)
         if block:
-            groups, height = 2, len(x) // width
             w.put(block - 2, 3)
-            columns = (width + (1 << block) - 1) >> block
-            _write_pixels(w, [(b // columns % 2) << 8 for b in range(columns * ((height + (1 << block) - 1) >> block))], columns, False)
+            columns, rows = (width + (1 << block) - 1) >> block, (len(x) // width + (1 << block) - 1) >> block
+            groups = min(rows, 2)
+            _write_pixels(w, [(b // columns % 2) << 8 for b in range(columns * rows)], columns, False)
     nearest = {max(1, a + b * width): k + 1 for k, (a, b) in reversed(list(enumerate(NEAR)))}
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     counts = [[[0] * s for s in sizes] for _ in range(groups)]
