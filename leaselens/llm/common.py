@@ -67,6 +67,56 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of a Bloom filter: at least that many for each id, and at most that many in all (32 MB).
+BLOOM_RATE, BLOOM_BITS = 16, 1 << 28
+
+
+class Bloom:
+    """A Bloom filter of the ids of a one-column table, to spare other rows a shuffle.
+
+    Its size follows the number of ids up to BLOOM_BITS; beyond, it lets more rows pass
+    and stays right, as what passes is joined. Slices of it are made apart, so that the driver gets
+    each bit once.
+    """
+
+    SLICE = 20
+
+    def __init__(self, ids: DataFrame) -> None:
+        n = ids.count()
+        self.bits = min(BLOOM_BITS, max(1 << 10, 1 << int(BLOOM_RATE * max(n, 1) - 1).bit_length()))
+        places = ids.select(F.explode(F.array(*self._places(F.col(ids.columns[0])))).alias("place"))
+        parts = places.groupBy(F.shiftright("place", self.SLICE).alias("part")).applyInArrow(self._slice, "part bigint, bits binary").collect()
+        flat = np.zeros((self.bits + 7) // 8, np.uint8)
+        for r in parts:
+            at = r["part"] << (self.SLICE - 3)
+            flat[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)[: len(flat) - at]
+        self.flat = ids.sparkSession.sparkContext.broadcast(flat)
+
+    def _places(self, id_: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(k), id_), F.lit(self.bits)).cast("bigint") for k in (3, 5)]
+
+    @staticmethod
+    def _slice(rows: pa.Table) -> pa.Table:
+        place = np.unique(rows["place"].to_numpy())
+        some = np.zeros(1 << Bloom.SLICE, np.uint8)
+        some[place & ((1 << Bloom.SLICE) - 1)] = 1
+        return pa.table({"part": [int(place[0]) >> Bloom.SLICE], "bits": pa.array([np.packbits(some, bitorder="little").tobytes()], pa.binary())})
+
+    def may_hold(self, id_: Column) -> Column:
+        """False only for ids that aren't among those of the filter; false for null."""
+        flat = self.flat
+
+        @F.arrow_udf("boolean")
+        def test(a: pa.Array, b: pa.Array) -> pa.Array:
+            held = np.ones(len(a), bool)
+            for x in (a, b):
+                p = x.to_numpy(zero_copy_only=False).astype(np.int64)
+                held &= (flat.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+            return pa.array(held)
+
+        return id_.isNotNull() & test(*self._places(id_))
+
+
 def mix(z: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 over an array of uint64."""
     z = (z ^ (z >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -171,7 +221,7 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, U64), np.zeros(len(count) + 1, np.int64)
     up, _ = powers(n + 1)
     h = np.zeros(total, U64)
-    for j in range(n):
+    for j in range(min(n, total)):
         h[: total - j] += w.hash[j:] * up[j]
     whole = np.arange(total) + n <= w.bounds[w.row + 1]
     short = (count > 0) & (count < n)
