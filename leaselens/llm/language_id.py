@@ -134,10 +134,10 @@ def identify(docs: DataFrame, pages: DataFrame, model: tuple[list[str], np.ndarr
         null = F.lit(None).cast("string")
         return x.select("doc_id", null.alias("lang"), F.lit(None).cast("double").alias("p"), null.alias("text_lang"), "declared", "suffix", "host")
     lls = own.mapInArrow(_likelihood_rows(docs.sparkSession.sparkContext.broadcast(logs)), "doc_id bigint, ll array<double>")
-    x = lls.join(evidence, "doc_id", "left").withColumn("best", F.when(F.exists("ll", lambda v: v != 0), _best(F.col("ll"))).cast("int"))
+    x = lls.join(evidence, "doc_id", "left").withColumn("best", F.when(F.exists("ll", lambda v: v != 0), _best(F.col("ll"))).otherwise(0).cast("int"))
     x = checkpointed(x)
     k = len(names)
-    counts = lambda *by: x.where("best is not null").groupBy(*by).agg(F.array(*(F.count_if(F.col("best") == i + 1) for i in range(k))).alias("n"))
+    counts = lambda *by: x.where("best > 0").groupBy(*by).agg(F.array(*(F.count_if(F.col("best") == i + 1) for i in range(k))).alias("n"))
     total = np.array(counts().first()["n"], float)
     prior = (total + 1) / (total + 1).sum()
 
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, pages: DataFrame, model: tuple[list[str], np.ndarr
     top = F.array_max("score")
     p = 1 / F.aggregate(F.transform("score", lambda v: F.exp(v - top)), F.lit(0.0), lambda a, v: a + v)
     name = F.array(*(F.lit(n) for n in names))
-    return x.select("doc_id", F.element_at(name, _best(F.col("score")).cast("int")).alias("lang"), F.round(p, 6).alias("p"), F.element_at(name, F.col("best")).alias("text_lang"), "declared", "suffix", "host")
+    return x.select("doc_id", F.element_at(name, _best(F.col("score")).cast("int")).alias("lang"), F.round(p, 6).alias("p"), F.get(name, F.col("best") - 1).alias("text_lang"), "declared", "suffix", "host")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ class Bits:
         self.data = data
         self.value = int.from_bytes(data[:64], "little")
         self.have = 8 * len(data[:64])
-        self.next = 64
+        self.next, self.padded = 64, 0
 
     def fill(self) -> None:
         more = self.data[self.next : self.next + 64]
@@ -50,8 +50,7 @@ class Bits:
         self.next += 64
         if not more:  # past the end: zeros, as long as a code may need
             self.have += 512
-            if self.next > len(self.data) + 4096:
-                raise ValueError("the data ends early")
+            self.padded += 512
 
     def read(self, n: int) -> int:
         while self.have < n:
@@ -61,6 +60,10 @@ class Bits:
         self.have -= n
         return out
 
+    def ended(self) -> bool:
+        """Whether more bits were taken than there are."""
+        return self.padded > 0 and self.have < self.padded
+
 
 class Code:
     """A canonical prefix code, as a table over the next bits: entry (symbol << 4 | length)."""
@@ -176,6 +179,8 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
         if cache_bits:
             for p in new:
                 cache[(HASH * p & 0xFFFFFFFF) >> shift] = p
+        if bits.padded and bits.ended():
+            raise ValueError("the data ends early")
     return out
 
 
