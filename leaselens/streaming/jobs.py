@@ -70,7 +70,7 @@ def states(events: DataFrame) -> DataFrame:
     return by.applyInPandasWithState(_step, OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def _upsert(path: str, key: str) -> Callable[[DataFrame, int], None]:
+def _upsert(path: str) -> Callable[[DataFrame, int], None]:
     """Writes each batch to its own folder, so that a batch that is run again replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
@@ -79,8 +79,10 @@ def _upsert(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def to_table(stream: DataFrame, path: str, checkpoint: str, key: str = "job_id") -> StreamingQuery:
-    return stream.writeStream.outputMode("update").foreachBatch(_upsert(path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def to_table(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Writes a stream to path: with once, what is there now. A stream with state that expires by the clock never ends so; it is to be stopped."""
+    writer = stream.writeStream.outputMode("update").foreachBatch(_upsert(path)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def table_of(spark: SparkSession, path: str, key: str = "job_id") -> DataFrame:
