@@ -21,7 +21,8 @@ def cosine(a: Column, b: Column) -> Column:
 def _matched(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
-    plain = lambda s: s.replace(" ", "").replace("\n", "")
+    gaps = str.maketrans("", "", " \n")
+    plain = lambda s: s.translate(gaps)
     return pd.Series([None if x is None or y is None else round(SequenceMatcher(None, plain(x), plain(y)).ratio() * 100, 2) for x, y in zip(a, b)], dtype="float64")
 
 

@@ -193,10 +193,8 @@ def resident_id_ok(v: Column) -> Column:
     return F.regexp_like(F.replace(v, F.lit(" "), F.lit("")), F.lit("^" + RESIDENT_ID.replace(S, "") + "$"))
 
 
-FIELD_KINDS = {
-    "money": ("보증금", "월세", "계약금", "잔금", "중도금", "금액"), "resident_id": ("주민등록번호", "주민번호"), "date": ("계약일", "시작일", "종료일", "날짜"),
-    "phone": ("전화번호", "연락처", "휴대폰"), "area": ("면적", "전용면적", "공급면적"), "address": ("주소", "소재지"),
-}
+_KINDS = "money=금액 월세 보증금 계약금 중도금 잔금; resident_id=주민번호 주민등록번호; date=날짜 계약일 시작일 종료일; phone=휴대폰 연락처 전화번호; area=면적 공급면적 전용면적; address=소재지 주소"
+FIELD_KINDS = {kind: names.split() for kind, names in (entry.split("=") for entry in _KINDS.split("; "))}
 
 
 def field_kind(field: Column) -> Column:

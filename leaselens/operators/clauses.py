@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import S, D, strip
 
-ARTICLE = rf"^제({D}+)조{S}[(\[]?([^)\]]*)[)\]]?{S}(.*)"
+ARTICLE = rf"^제({D}+)조{S}(?:\(|\[)?([^\])]*)(?:\]|\))?{S}(.*)"
 PARAGRAPH = rf"^(?:[①-⑩]|({D}+){S}[.항]{S}(.*))"
 ITEM = rf"^({D}+){S}호{S}(.*)"
 

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..schemas import LEASE
 
-FIELD_KEYWORDS = (
-    ("임대인", "임대인|갑|소유자"), ("임차인", "임차인|을|세입자"), ("보증금", "보증금|전세금"), ("월세", "월세|차임|월임대료"), ("계약금", "계약금"),
-    ("중도금", "중도금"), ("잔금", "잔금"), ("주소", "소재지|주소|목적물"), ("면적", "면적"), ("특약", "특약"),
-)
+#: Types in order, and what else than its own name tells a type.
+_TYPES = "임대인 갑|소유자, 임차인 을|세입자, 보증금 전세금, 월세 차임|월임대료, 계약금, 중도금, 잔금, 주소 소재지|목적물, 면적, 특약"
+FIELD_KEYWORDS = tuple((entry.split()[0], "|".join(entry.split())) for entry in _TYPES.split(", "))
 
 
 def _first(pairs, v: Column) -> Column:
@@ -93,7 +92,7 @@ def parse_lease(raw: Column) -> Column:
     )
 
 
-REQUIRED = (("lessor.name", "임대인 이름"), ("lessee.name", "임차인 이름"), ("property.address", "부동산 소재지"), ("terms.deposit", "보증금"))
+REQUIRED = "lessor.name lessee.name property.address terms.deposit".split()
 
 
 def validate_lease(lease: Column) -> Column:
@@ -112,15 +111,15 @@ def validate_lease(lease: Column) -> Column:
         v = lease[a][b]
         return v.isNull() | (v == (0 if b == "deposit" else ""))
 
-    warnings = F.array_compact(F.array(F.when((n("deposit") > 0) & (total > 0) & (total != n("deposit")), F.lit("deposit")), *(F.when(missing(p), F.lit(p)) for p, _ in REQUIRED)))
+    warnings = F.array_compact(F.array(F.when((n("deposit") > 0) & (total > 0) & (total != n("deposit")), F.lit("deposit")), *(F.when(missing(p), F.lit(p)) for p in REQUIRED)))
     return F.when(lease.isNotNull(), F.struct((F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings")))
 
 
 def missing_paths(leases: DataFrame) -> DataFrame:
     """doc_id, path of required values that are missing, as an anti-join of what there is with what there must be."""
     spark = leases.sparkSession
-    need = spark.createDataFrame([(p,) for p, _ in REQUIRED], "path string")
-    there = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f"lease.{p}").cast("string"), F.lit("")).isin("", "0") == F.lit(False), F.lit(p)) for p, _ in REQUIRED)))
+    need = spark.createDataFrame([(p,) for p in REQUIRED], "path string")
+    there = F.array_compact(F.array(*(F.when(F.coalesce(F.col(f"lease.{p}").cast("string"), F.lit("")).isin("", "0") == F.lit(False), F.lit(p)) for p in REQUIRED)))
     have = leases.select("doc_id", F.explode(there).alias("path"))
     return leases.select("doc_id").crossJoin(F.broadcast(need)).join(have, ["doc_id", "path"], "left_anti")
 

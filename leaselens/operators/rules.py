@@ -51,7 +51,7 @@ DOCUMENT_RULES = (
     Rule("illegal", "shouting", "", (("!!",), ("THE", "UND", "DE"))),
 )
 API_POINTS = {"fraud": 15, "missing": 10, "illegal": 25}
-WORKER_POINTS = {"fraud": {"high": 30, "medium": 15, "low": 5}, "missing": {"critical": 20, "important": 10, "recommended": 5}}
+WORKER_POINTS = {"fraud": dict(zip(("low", "medium", "high"), (5, 15, 30))), "missing": dict(zip(("recommended", "important", "critical"), (5, 10, 20)))}
 
 
 def findings(contracts: DataFrame, rules: tuple[Rule, ...] = KOREAN_RULES, id_: str = "contract_id") -> DataFrame:

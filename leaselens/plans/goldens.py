@@ -59,8 +59,8 @@ def term_lookup(spark: SparkSession, _: str) -> DataFrame:
 
 
 def typo_correction(spark: SparkSession, _: str) -> DataFrame:
-    rows = [("보즈금 일금 일천만원쩡", "보증금"), ("게약일: 2024년 1월 15일", "계약일"), ("010-1234-5678", "전화번호"), ("서울시 강남구 테헤란로 123", "주소"), ("84.5㎡", "면적"), ("보증금 1O,000원 lIo", "보증금"), ("2024/13/45", "날짜"), ("  ", "주소"), ("", "기타")]
-    x = fields.postprocess(spark.createDataFrame([(i, f, v) for i, (v, f) in enumerate(rows)], "id bigint, field string, value string"))
+    rows = [("보증금", "보즈금 일금 일천만원쩡"), ("면적", "84.5㎡"), ("계약일", "게약일: 2024년 1월 15일"), ("날짜", "2024/13/45"), ("주소", "서울시 강남구 테헤란로 123"), ("보증금", "보증금 1O,000원 lIo"), ("전화번호", "010-1234-5678"), ("주소", "  "), ("기타", "")]
+    x = fields.postprocess(spark.createDataFrame([(i, f, v) for i, (f, v) in enumerate(rows)], "id bigint, field string, value string"))
     log = F.array_join(F.transform("corrections", lambda c: F.concat(c["from"], F.lit(">"), c["to"])), ",")
     return x.select("id", "corrected", log.alias("corrections"), "confidence", "valid")
 
@@ -193,8 +193,8 @@ SQL = {
     "term_lookup": values("term, simple_explanation, legal_definition, examples", ("대항력", *TERMS[1][1:3], TERMS[1][3][0]), ("전세권", "전세권에 대한 설명입니다.", "법률적 정의를 찾을 수 없습니다.", "예시 정보가 없습니다.")),
     "typo_correction": values(
         "id, corrected, corrections, confidence, valid",
-        (0, "보증금 일금 일천만원정", "보즈금>보증금,원쩡>원정", 0.9, True), (1, "계약일: 2024년 1월 15일", "게약>계약", 0.9, True), (2, "010-1234-5678", "", 1.0, True),
-        (3, "서울시 강남구 테헤란로 123", "", 1.0, True), (4, "84.5평방미터", "㎡>평방미터", 0.9, True), (5, "보증금 10,000원 110", "", 1.0, True), (6, "2024/13/45", "", 1.0, True),
+        (0, "보증금 일금 일천만원정", "보즈금>보증금,원쩡>원정", 0.9, True), (1, "84.5평방미터", "㎡>평방미터", 0.9, True), (2, "계약일: 2024년 1월 15일", "게약>계약", 0.9, True),
+        (3, "2024/13/45", "", 1.0, True), (4, "서울시 강남구 테헤란로 123", "", 1.0, True), (5, "보증금 10,000원 110", "", 1.0, True), (6, "010-1234-5678", "", 1.0, True),
         (7, "  ", "", 1.0, False), (8, "", "", 1.0, False),
     ),
     "korean_number": values("id, n", *enumerate((10000000, 50000000, 100000000, 120000000, 5000000, 500000, 10, 500000, 10000, 1, -1))),

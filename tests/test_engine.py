@@ -144,7 +144,7 @@ def test_providers(spark):
     e = providers.call(df.where("id = 1"), "id", "v", providers.hashed_embedding(8)).select(providers.embedding(F.col("output")).alias("e")).first().e
     assert len(e) == 8 and sum(abs(x) for x in e) == 1
     a = spark.createDataFrame([("bad",), ('{"total_clauses": 2}',)], "o string").select(providers.analysis(F.col("o")).alias("a")).collect()
-    assert a[0].a.total_clauses == 0 and a[0].a.risk_summary == {"Risk": 0, "Caution": 0, "Safety": 0} and a[1].a.total_clauses == 2
+    assert a[0].a.total_clauses == 0 and a[0].a.risk_summary == dict.fromkeys(("Safety", "Caution", "Risk"), 0) and a[1].a.total_clauses == 2
     r = providers.Registry()
     r.add("x", providers.stored({}))
     assert r.get("y", "x") is r.get("x")
@@ -248,7 +248,7 @@ def test_pixels():
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.sampled_from("일이삼사오육칠팔구십백천만억조x"), max_size=8))
 def test_korean_number_matches_a_loop(spark, chars):
-    small, unit = "일이삼사오육칠팔구", {"십": 10, "백": 100, "천": 1000, "만": 10_000, "억": 100_000_000}
+    small, unit = "일이삼사오육칠팔구", dict(zip("십백천만억", (10, 100, 1000, 10_000, 100_000_000)))
     total, held = 0, 0
     for c in chars:
         if c in small:
