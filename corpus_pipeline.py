@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from leaselens.llm import line_dedup, mixing, ngram_join, packing, quality_classifier
-from leaselens.llm.common import shared_folder, table
+from leaselens.llm.common import shared_folder, small_batches, table
 
 #: The part of all tokens that the mixture may hold; large sources are held back first.
 MIX_BUDGET = 0.9
@@ -25,11 +25,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that came before are taken out of the texts."""
+    small_batches(spark)
     return line_dedup.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays."""
+    small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
