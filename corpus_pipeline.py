@@ -30,9 +30,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays."""
+    """One document of each group of similar ones stays; case and the punctuation around words make no difference."""
     small_batches(spark)
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, fold=True)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,19 @@ def test_stages_keep_their_contract(spark, tmp_path):
     assert sorted(map(str, whole.select("doc_id", "piece", "tokens").collect())) == sorted(str(x) for x in docs.select("doc_id", "piece", "tokens").collect())
 
 
+def test_merged_sentences_are_near_duplicates(spark, docs_of):
+    """A copy whose sentences were merged ('eran. Nd,' became 'eran nd,'): of less than 0.75 in raw words."""
+    from test_near_and_repeats import gram_set
+
+    raw = words(1, 120).split()
+    base = " ".join(f"{w}." if k % 12 == 11 else w.title() if k % 12 == 0 else w for k, w in enumerate(raw)) + " -- \u00bbEnde\u00ab"
+    edited = " ".join(raw) + " -- ende"
+    a, b = gram_set(base, 2), gram_set(edited, 2)
+    assert 0.5 < len(a & b) / len(a | b) < 0.75
+    rows = [(1, base), (2, edited), (3, words(3, 120)), (4, "!!! ??"), (5, "!!! ??"), (6, "... --")]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(rows), "").collect()) == [1, 3, 4, 6]
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
 
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
