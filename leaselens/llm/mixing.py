@@ -89,8 +89,9 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _slim(docs: DataFrame, tokens: Column) -> DataFrame:
-    return checkpointed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), doc_hash(F.col("doc_id")).alias("h"), tokens.cast("bigint").alias("tokens")))
+def _slim(docs: DataFrame, tokens: Column | None) -> DataFrame:
+    tokens = F.coalesce((word_count(F.col("text")) if tokens is None else tokens).cast("bigint"), F.lit(0))
+    return checkpointed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), doc_hash(F.col("doc_id")).alias("h"), tokens.alias("tokens")))
 
 
 def _bounds(slim: DataFrame, budgets: tuple[float, ...], weights: DataFrame | None) -> DataFrame:
@@ -99,11 +100,12 @@ def _bounds(slim: DataFrame, budgets: tuple[float, ...], weights: DataFrame | No
     return _small(rows.groupBy("of").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "bound"))), lambda x: x["bound"]).alias("bounds")))
 
 
-def mix_levels(docs: DataFrame, budgets: tuple[float, ...] = BUDGETS, weights: DataFrame | None = None) -> DataFrame:
+def mix_levels(docs: DataFrame, budgets: tuple[float, ...] = BUDGETS, weights: DataFrame | None = None, tokens: Column | None = None) -> DataFrame:
     """doc_id, source, tokens, level: the documents of the largest budget; level is the least budget that holds one.
 
     weights(source, weight) gives target weights, 1 for other sources; without
-    it a source weighs its tokens to the power TEMPERATURE. Tokens are words.
+    it a source weighs its tokens to the power TEMPERATURE. tokens defaults to the
+    words of the text; null counts as 0.
     A document is in or out by its id's hash, so repeated rows of an id go
     together, and equal hashes never part. Documents without a source form a
     source of their own; a null id hashes like an empty string. A source
@@ -111,16 +113,16 @@ def mix_levels(docs: DataFrame, budgets: tuple[float, ...] = BUDGETS, weights: D
     in others, documents of 0 tokens (null or empty text) are there if
     their hash is. An empty table gives no rows.
     """
-    slim = _slim(docs, word_count(F.col("text")))
+    slim = _slim(docs, tokens)
     bounds = _bounds(slim, budgets, weights)
     level = F.size(F.filter("bounds", lambda b: b < F.col("h"))) + 1
     return slim.join(bounds, F.col("of").eqNullSafe(F.col("source"))).withColumn("level", level).where(F.col("level") <= len(budgets)).select("doc_id", "source", "tokens", "level")
 
 
-def mix(docs: DataFrame, budgets: tuple[float, ...] = BUDGETS, weights: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, budgets: tuple[float, ...] = BUDGETS, weights: DataFrame | None = None, tokens: Column | None = None) -> DataFrame:
     """The rows of docs in the largest budget, with all their columns; rules as for mix_levels()."""
     of, bounds, h = fresh(docs, "mix_of", "mix_bounds", "mix_hash")
-    found = _bounds(_slim(docs, word_count(F.col("text"))), budgets, weights)
+    found = _bounds(_slim(docs, tokens), budgets, weights)
     found = found.select(F.col("of").alias(of), F.element_at("bounds", -1).alias(bounds))
     small = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     return docs.withColumn(h, doc_hash(F.col("doc_id"))).join(small, F.col(of).eqNullSafe(F.col("source").cast("string"))).where(F.col(h) <= F.col(bounds)).select(docs.columns)

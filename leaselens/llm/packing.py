@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table, word_count
+from .token_counts import broadcast_ranks, token_count
 
 #: Tokens of a window, and about how many tokens a shard packs.
 WINDOW = 2048
@@ -101,7 +102,7 @@ def pack(docs: DataFrame, tokens: Column | None = None, capacity: int = WINDOW,
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), token_count(F.col("text"), broadcast_ranks(spark)))
 
 
 QUERIES = {"op4_packing": op4_packing}

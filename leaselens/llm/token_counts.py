@@ -85,6 +85,11 @@ def token_count(text: Column, ranks: Broadcast) -> Column:
     return count(text)
 
 
+def broadcast_ranks(spark: SparkSession, vocabulary: str = VOCABULARY) -> Broadcast:
+    with open(vocabulary, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens for each row of docs, in one pass without a shuffle.
 
@@ -93,9 +98,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     make no difference. An empty table gives no rows. The file of ranks is
     read by the driver and broadcast: its size doesn't depend on the data.
     """
-    with open(vocabulary, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
-    return docs.select("doc_id", token_count(F.col("text"), ranks).alias("n_tokens"))
+    return docs.select("doc_id", token_count(F.col("text"), broadcast_ranks(docs.sparkSession, vocabulary)).alias("n_tokens"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ import random
 import numpy as np
 from helpers import words
 
-from leaselens.llm import mixing, packing
+from pyspark.sql import functions as F
+
+from leaselens.llm import mixing, packing, token_counts
 
 
 def test_packer_minimises_the_sum_of_squares():
@@ -105,3 +107,27 @@ def test_mix_edges(edges, none):
     everything = mixing.mix(edges, (1.0,))
     assert everything.count() == edges.count()
     assert mixing.mix_levels(edges, (0.3, 1.0)).count() == edges.count()
+
+
+def test_packing_query_counts_tokens(spark, docs_of, tmp_path):
+    """A long text without white space is one word, and many windows of tokens."""
+    code = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000))
+    rows = [(1, code), (2, words(2, 1500)), (3, None), (4, "")]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    with open(token_counts.VOCABULARY, "rb") as f:
+        encoder = token_counts.encoding(f.read())
+    got = collections.Counter()
+    for r in packing.op4_packing(spark, str(tmp_path)).collect():
+        got[r.doc_id] += r.tokens
+        assert r.tokens <= packing.WINDOW
+    assert got == {i: len(encoder.encode_ordinary(t or "")) for i, t in rows} and min(got[1], got[2]) > packing.WINDOW
+
+
+def test_mix_takes_a_token_column(docs_of):
+    docs = docs_of([(i, words(i, 5), "en", "a" if i % 2 else "b") for i in range(200)])
+    tokens = F.when(F.col("source") == "a", 30).otherwise(F.when(F.col("doc_id") > 3, 1))
+    weights = docs.sparkSession.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
+    rows = mixing.mix_levels(docs, (0.5,), weights, tokens).collect()
+    assert {r.tokens for r in rows if r.source == "a"} == {30} and {r.tokens for r in rows if r.source == "b"} == {0, 1}
+    assert sum(r.source == "b" for r in rows) == 100 and 45 <= sum(r.source == "a" for r in rows) <= 48
+    assert {r.doc_id for r in mixing.mix(docs, (0.5,), weights, tokens).collect()} == {r.doc_id for r in rows}
