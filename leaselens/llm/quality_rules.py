@@ -44,12 +44,11 @@ def rule_failures(text: Column, words: Column) -> list[Column]:
 
 
 def page_domains(pages: DataFrame) -> DataFrame:
-    """doc_id, domain: of the documents that pages link to by the number that ends their address; the least domain of each."""
+    """doc_id, domain: of the documents that pages link to by the number that ends their address; a row for each of its domains."""
     url = F.col("url")
     doc_id = F.regexp_extract(url, r"/([0-9]{1,18})(?:\.html|/)?(?:[?#].*)?$", 1)
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/:?#]+)", 1)), r"^(?:www|m)\.", "")
-    own = pages.select(F.nullif(doc_id, F.lit("")).cast("bigint").alias("doc_id"), host.alias("domain")).where("doc_id is not null and domain <> ''")
-    return own.groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    return pages.select(F.nullif(doc_id, F.lit("")).cast("bigint").alias("doc_id"), host.alias("domain")).where("doc_id is not null and domain <> ''").distinct()
 
 
 def host_verdicts(judged: DataFrame) -> DataFrame:
@@ -67,31 +66,41 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     return by.select("domain", "host_rate", (F.col("host_rate") > HOST_LIMIT).alias("host_rejected"))
 
 
-def judge(docs: DataFrame, pages: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, pages: DataFrame, every_host: bool = False) -> DataFrame:
     """doc_id, domain, failures, host_rate, host_rejected, keep: a row for each row of docs that has a doc_id.
 
-    A document's domain is that of its page; without a page it is its source,
-    written source:NAME (NAME empty for null). failures counts the rules that it
+    A document's domains are those of its pages; without a page it is its source,
+    written source:NAME (NAME empty for null). With every_host, each of them is charged with its
+    failures, and the one of the greatest host_rate (of equal ones, the least) gives its domain and
+    verdict: it is rejected if any of them is. Without, only the least domain counts. failures counts the rules that it
     fails; keep means that it fails none and its host isn't rejected. A null text is
     judged like an empty one (few_words). Rows that repeat a doc_id count, and come
-    out, one by one. Several pages of a document give their least domain; pages of no
+    out, one by one. Several pages of a document on a domain count once; pages of no
     document, and null or odd addresses, count for nothing. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"))
     own = own.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).select("doc_id", "source", *rule_failures(F.col("text"), F.col("words")))
-    own = own.join(page_domains(pages), "doc_id", "left").withColumn("domain", F.coalesce("domain", F.concat(F.lit("source:"), F.coalesce("source", F.lit("")))))
-    judged = checkpointed(own.select("doc_id", "domain", *RULES))
+    of = page_domains(pages).groupBy("doc_id").agg((F.collect_set("domain") if every_host else F.array(F.min("domain"))).alias("domains"))
+    own = own.join(of, "doc_id", "left").withColumn("domains", F.coalesce("domains", F.array(F.concat(F.lit("source:"), F.coalesce("source", F.lit("")))))).withColumn("row", F.monotonically_increasing_id())
+    judged = checkpointed(own.select("row", "doc_id", F.explode("domains").alias("domain"), *RULES))
     failures = sum((F.col(r) for r in RULES[1:]), F.col(RULES[0]))
-    x = judged.select("doc_id", "domain", failures.cast("int").alias("failures")).join(host_verdicts(judged), "domain")
+    x = judged.select("row", "doc_id", "domain", failures.cast("int").alias("failures")).join(host_verdicts(judged), "domain")
+    if every_host:
+        x = x.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("failures").alias("failures"), F.min_by(F.struct("domain", "host_rate", "host_rejected"), F.struct(-F.col("host_rate"), "domain")).alias("of")).select("doc_id", "failures", "of.*")
     return x.select("doc_id", "domain", "failures", "host_rate", "host_rejected", ((F.col("failures") == 0) & ~F.col("host_rejected")).alias("keep"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL states it: of several domains of a document, the least."""
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+def op8_every_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"), every_host=True)
+
+
+QUERIES = {"op8_quality_rules": op8_quality_rules, "op8_every_host": op8_every_host}
 SQL = {
     "op8_quality_rules": """
 WITH p AS (SELECT doc_id, min(domain) AS domain FROM (

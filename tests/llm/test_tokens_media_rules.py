@@ -200,3 +200,19 @@ def test_rules_and_edges(spark, docs_of, edges, none):
     junk = [(1, "ab### " * 9), (2, "a | " * 9), (3, "no! " * 9), (4, "SHOUT AT ALL OF THEM NOW"), (5, "go stop " * 40), (6, "one two")]
     got = {r.doc_id: r.failures for r in quality_rules.judge(docs_of(junk), pages).collect()}
     assert got == {i: 1 for i in range(1, 7)}
+
+
+def test_every_host_of_a_document_counts(spark, docs_of):
+    """z.org mirrors the junk of a.org and is charged with it; what is on both gets the worse verdict."""
+    junk = words(1, 40).upper() + "!" * 30
+    rows = [(i, junk if i < 40 else words(i, 30)) for i in range(100)] + [(99, words(99, 30))]
+    pages = [(i, f"https://{h}.org/{i}", "") for i in range(100) for h in (["a", "www.z", "z"] if i < 40 else ["b", "z"] if i == 99 else [f"c{i % 9}"])]
+    for every in (True, False):
+        got = quality_rules.judge(docs_of(rows), pages_of(spark, pages), every_host=every).collect()
+        assert len(got) == 101
+        both = [r for r in got if r.doc_id == 99]
+        assert len(both) == 2 and all(r.failures == 0 for r in both)
+        if every:
+            assert all(r.domain == "z.org" and r.host_rejected and not r.keep for r in both)
+        else:
+            assert all(r.domain == "b.org" and r.keep for r in both)
