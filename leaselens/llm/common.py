@@ -29,25 +29,43 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 ARROW_BYTES = 4 << 20
 
 
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, so that long texts don't make large ones."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Bounds Arrow batches by bytes, so that long texts don't make large ones.
+
+    Every operator calls it for the session of its input. The bound is the session's, as Spark has no other, and is
+    taken when a plan runs; a session with a tighter one keeps it.
+    """
+    bound = spark.conf.get(_BATCH_SETTING).rstrip("b")
+    if not bound.isdigit() or int(bound) > ARROW_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(ARROW_BYTES))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan, dealt to all cores where it has fewer splits than there are; it is small then."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share.
 
     The cluster names it in spark.checkpoint.dir; a folder of our own is set
-    only where the setting is absent, as in local tests.
+    only where the setting is absent on a local master, as in tests; elsewhere that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="leaselens-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="leaselens-"))
     return sc.getCheckpointDir()
 
 
@@ -73,6 +91,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+#: Small sides of joins are broadcast up to that many rows; beyond, the join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, computed once, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def page_ids(url: Column) -> Column:
+    """The document that a page's address names: the number that ends its path; null if there is none, or none that a bigint holds."""
+    return F.nullif(F.regexp_extract(url, r"/([0-9]+)(?:\.html|/)?(?:[?#].*)?$", 1), F.lit("")).try_cast("bigint")
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

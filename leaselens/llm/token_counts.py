@@ -1,15 +1,17 @@
 """Token counts: byte-level BPE in an Arrow function that returns lengths only.
 
-Texts are encoded in batches of about BATCH_BYTES. A text longer than
-PIECE_BYTES is cut where a white space follows another character: the
-vocabulary's pattern never takes a white space into a token after one, so such a
-cut changes no count.
+Texts are encoded in batches of about BATCH_BYTES of UTF-8. A text of more than
+PIECE_BYTES is cut only where no token can lie across, which changes no count:
+before a white space that follows another character, as the vocabulary's pattern never
+takes a white space into a token after one; and between two characters whose
+meeting bytes are side by side in no token of the vocabulary, as no merge joins them.
+The second kind cuts texts without white space: other scripts, encoded data.
 """
 
 from __future__ import annotations
 
 import base64
-import re
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +20,18 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: A file of ranks: a token in base64 and its rank on each line.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = os.environ.get("LEASELENS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BATCH_BYTES = 1 << 20
 PIECE_BYTES = 1 << 16
-_CUT = re.compile(r"(?<=\S)[ \n]")
 _encoders: dict[int, object] = {}
+_apart: dict[int, np.ndarray] = {}
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_QUOTE = ord("'")
 
 
 def encoding(ranks: bytes):
@@ -36,17 +41,54 @@ def encoding(ranks: bytes):
     key = hash(ranks)
     if key not in _encoders:
         pairs = (line.split() for line in ranks.splitlines() if line)
-        _encoders[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+        tokens = {base64.b64decode(a): int(b) for a, b in pairs}
+        encoder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={})
+        apart = np.ones((256, 256), bool)
+        for t in tokens:
+            x = np.frombuffer(t, np.uint8)
+            apart[x[:-1], x[1:]] = False
+        _encoders[key], _apart[id(encoder)] = encoder, apart
     return _encoders[key]
 
 
-def pieces(text: str, most: int = PIECE_BYTES) -> Iterator[str]:
-    """A text in parts of about that many characters whose tokens together are the text's."""
-    lo = 0
-    while len(text) - lo > most and (cut := _CUT.search(text, lo + most)):
-        yield text[lo : cut.start()]
-        lo = cut.start()
-    yield text[lo:]
+def _before(x: np.ndarray, n: int) -> np.ndarray:
+    """The byte n places before each; 0 at the start."""
+    out = np.zeros_like(x)
+    out[n:] = x[:-n]
+    return out
+
+
+def cuts(data: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Places before which a UTF-8 text may be cut.
+
+    Between characters of no white space, a cut also keeps away from apostrophes, which
+    start tokens of letters. Characters that may be white space beyond ASCII are told by their first bytes.
+    """
+    if len(data) < 2:
+        return np.zeros(0, np.int64)
+    one, two, three = (_before(data, k) for k in (1, 2, 3))
+    wide = (three == 0xE1) & (two == 0x9A) | (three == 0xE2) & ((two == 0x80) | (two == 0x81)) | (three == 0xE3) & (two == 0x80)
+    blank = _SPACE[one] | (two == 0xC2) | wide
+    free = apart[one, data] & (data != _QUOTE) & (one != _QUOTE) & (two != _QUOTE)
+    ok = ((data & 0xC0) != 0x80) & ~blank & (_SPACE[data] | free)
+    ok[0] = False
+    return np.flatnonzero(ok)
+
+
+def pieces(text: str, most: int = PIECE_BYTES, apart: np.ndarray | None = None) -> Iterator[tuple[str, int]]:
+    """A text in parts of about that many bytes whose tokens together are the text's, and their sizes; without apart, cut before white space only."""
+    raw = text.encode()
+    if len(raw) <= most:
+        yield text, len(raw)
+        return
+    at, lo = cuts(np.frombuffer(raw, np.uint8), np.zeros((256, 256), bool) if apart is None else apart), 0
+    while len(raw) - lo > most:
+        k = int(np.searchsorted(at, lo + most))
+        if k == len(at):
+            break
+        yield raw[lo : at[k]].decode(), int(at[k]) - lo
+        lo = int(at[k])
+    yield raw[lo:].decode(), len(raw) - lo
 
 
 def lengths(encoder, texts: list[str | None], batch: int = BATCH_BYTES, piece: int = PIECE_BYTES) -> np.ndarray:
@@ -63,9 +105,9 @@ def lengths(encoder, texts: list[str | None], batch: int = BATCH_BYTES, piece: i
         held = 0
 
     for i, text in enumerate(texts):
-        for part in pieces(text, piece) if text else ():
+        for part, size in pieces(text, piece, _apart.get(id(encoder))) if text else ():
             rows.append(i), parts.append(part)
-            held += len(part)
+            held += size
             if held >= batch:
                 flush()
     if parts:
@@ -86,6 +128,8 @@ def token_count(text: Column, ranks: Broadcast) -> Column:
 
 
 def broadcast_ranks(spark: SparkSession, vocabulary: str = VOCABULARY) -> Broadcast:
+    """The file of ranks, read by the driver; its size doesn't depend on the data."""
+    small_batches(spark)
     with open(vocabulary, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
@@ -106,4 +150,31 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_token_counts": op1_token_counts}
-SQL: dict[str, str] = {}
+
+
+def counted_sql(rows: str, vocabulary: str = VOCABULARY) -> str:
+    """The head of a WITH clause that ends with counted: all columns of rows, and n_tokens of their text.
+
+    Byte-pair encoding in DuckDB's SQL: the pattern parts texts into words (a white space before another character
+    is parted from those before it by U+E000, for want of lookahead), and a recursion joins the pair of least
+    rank of each distinct word until none is in the file of ranks.
+    """
+    space, other = r"[\t-\r\x{85}\p{Z}]", r"[^\t-\r\x{85}\p{Z}]"
+    pattern = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^\t-\r\x{{85}}\p{{Z}}\p{{L}}\p{{N}}\x{{E000}}]+|{space}+"
+    return rf"""
+WITH RECURSIVE ranks AS (SELECT hex(from_base64(t)) AS t, r FROM read_csv('{vocabulary}', columns={{'t': 'VARCHAR', 'r': 'INT'}}, delim=' ', header=false, quote='', escape='')),
+src AS MATERIALIZED (SELECT *, row_number() OVER () AS row_no FROM {rows}),
+pre AS MATERIALIZED (SELECT row_no, unnest(regexp_extract_all(regexp_replace(text, '({space}+)({space}{other})', '\1' || chr(57344) || '\2', 'g'), '{pattern}')) AS w FROM src),
+bpe(w, parts, more) AS (
+  SELECT w, CASE WHEN whole THEN [h] ELSE list_transform(range(1, len(h) // 2 + 1), lambda i: substr(h, 2 * i - 1, 2)) END, NOT whole
+  FROM (SELECT w, hex(encode(w)) AS h, EXISTS (SELECT 1 FROM ranks WHERE t = hex(encode(w))) AS whole FROM (SELECT DISTINCT w FROM pre))
+  UNION ALL
+  SELECT w, list_concat(parts[:i - 1], [parts[i] || parts[i + 1]], parts[i + 2:]), true
+  FROM (SELECT w, any_value(parts) AS parts, arg_min(i, r * 1000000::BIGINT + i) AS i
+        FROM (SELECT w, parts, unnest(range(1, len(parts))) AS i FROM bpe WHERE more) JOIN ranks ON t = parts[i] || parts[i + 1] GROUP BY w)),
+held AS (SELECT w, min(len(parts)) AS n FROM bpe GROUP BY w),
+counted AS MATERIALIZED (SELECT src.*, CASE WHEN text IS NULL THEN NULL ELSE coalesce(n, 0)::BIGINT END AS n_tokens
+                         FROM src LEFT JOIN (SELECT row_no, sum(n) AS n FROM pre JOIN held USING (w) GROUP BY row_no) USING (row_no))"""
+
+
+SQL = {"op1_token_counts": counted_sql("documents") + " SELECT doc_id, n_tokens FROM counted"}
