@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, table, word_count
+from .common import BROADCAST_ROWS, checkpointed, fresh, small, table
+from .token_counts import broadcast_ranks, counted_sql, token_count
 
 #: Nested budgets as parts of all tokens, ascending.
 BUDGETS = (0.25, 0.5, 0.9)
@@ -21,13 +22,11 @@ BUDGETS = (0.25, 0.5, 0.9)
 TEMPERATURE = 0.7
 SEED = "mix-1"
 STEP = 12
-#: Thresholds are broadcast up to that many rows; beyond, the join shuffles.
-BROADCAST_ROWS = 200_000
 
 
-def doc_hash(doc_id: Column) -> Column:
+def doc_hash(doc_id: Column, seed: str = SEED) -> Column:
     """60 bits of an MD5 of the seed and the id; SQL engines agree on it."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("bigint")
 
 
 def _quotas(totals: DataFrame, budgets: tuple[float, ...], weights: DataFrame | None) -> DataFrame:
@@ -77,27 +76,22 @@ def thresholds(slim: DataFrame, budgets: tuple[float, ...] = BUDGETS, weights: D
             (F.shiftleft(F.col("b.bucket") + 1, shift) - 1).alias("high"),
         )
         finer = max(0, shift - STEP) if shift == top - STEP else 0
-        at = _small(need.select(F.col("source").alias("of"), "level", "at"))
+        at = small(need.select(F.col("source").alias("of"), "level", "at"))
         inside = slim.join(at, F.col("of").eqNullSafe(F.col("source")) & (F.shiftright(h, shift) == F.col("at")))
         hist = inside.groupBy("source", "level", F.shiftright("h", finer).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
     return found[0].union(found[1]).union(found[2]).union(found[3])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has at most BROADCAST_ROWS rows."""
-    df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _slim(docs: DataFrame, tokens: Column | None) -> DataFrame:
-    tokens = F.coalesce((word_count(F.col("text")) if tokens is None else tokens).cast("bigint"), F.lit(0))
+    tokens = token_count(F.col("text"), broadcast_ranks(docs.sparkSession)) if tokens is None else tokens
+    tokens = F.coalesce(tokens.cast("bigint"), F.lit(0))
     return checkpointed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), doc_hash(F.col("doc_id")).alias("h"), tokens.alias("tokens")))
 
 
 def _bounds(slim: DataFrame, budgets: tuple[float, ...], weights: DataFrame | None) -> DataFrame:
     """of, bounds: a source's thresholds in order of level."""
     rows = thresholds(slim, budgets, weights).withColumnRenamed("source", "of")
-    return _small(rows.groupBy("of").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "bound"))), lambda x: x["bound"]).alias("bounds")))
+    return small(rows.groupBy("of").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "bound"))), lambda x: x["bound"]).alias("bounds")))
 
 
 def mix_levels(docs: DataFrame, budgets: tuple[float, ...] = BUDGETS, weights: DataFrame | None = None, tokens: Column | None = None) -> DataFrame:
@@ -105,7 +99,7 @@ def mix_levels(docs: DataFrame, budgets: tuple[float, ...] = BUDGETS, weights: D
 
     weights(source, weight) gives target weights, 1 for other sources; without
     it a source weighs its tokens to the power TEMPERATURE. tokens defaults to the
-    words of the text; null counts as 0.
+    byte-pair tokens of the text, as op1 counts them; null counts as 0.
     A document is in or out by its id's hash, so repeated rows of an id go
     together, and equal hashes never part. Documents without a source form a
     source of their own; a null id hashes like an empty string. A source
@@ -124,8 +118,7 @@ def mix(docs: DataFrame, budgets: tuple[float, ...] = BUDGETS, weights: DataFram
     of, bounds, h = fresh(docs, "mix_of", "mix_bounds", "mix_hash")
     found = _bounds(_slim(docs, tokens), budgets, weights)
     found = found.select(F.col("of").alias(of), F.element_at("bounds", -1).alias(bounds))
-    small = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return docs.withColumn(h, doc_hash(F.col("doc_id"))).join(small, F.col(of).eqNullSafe(F.col("source").cast("string"))).where(F.col(h) <= F.col(bounds)).select(docs.columns)
+    return docs.withColumn(h, doc_hash(F.col("doc_id"))).join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, F.col(of).eqNullSafe(F.col("source").cast("string"))).where(F.col(h) <= F.col(bounds)).select(docs.columns)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +127,9 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op2_source_mixing": op2_source_mixing}
 SQL = {
-    "op2_source_mixing": """
-WITH d AS (SELECT doc_id, source, ('0x' || substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h,
-             CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0) AS BIGINT) AS tokens FROM documents),
+    "op2_source_mixing": counted_sql("documents")
+    + """,
+d AS (SELECT doc_id, source, ('0x' || substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h, coalesce(n_tokens, 0) AS tokens FROM counted),
 s AS (SELECT source, sum(tokens)::BIGINT AS total, pow(sum(tokens)::DOUBLE, 0.7) AS weight FROM d GROUP BY source HAVING sum(tokens) > 0),
 l AS (SELECT s.*, level, total / weight AS ratio, floor(sum(total) OVER (PARTITION BY level) * share) AS budget
       FROM s, (VALUES (1, 0.25::DOUBLE), (2, 0.5::DOUBLE), (3, 0.9::DOUBLE)) b(level, share)),
