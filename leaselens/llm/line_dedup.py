@@ -5,7 +5,9 @@ to it. Each shard of it has a cuckoo filter of the lines with a count above
 zero. An insertion asks the filters first: a line that its filter doesn't hold
 is new and needs no look at the exact table; only the others are joined
 with it. A deletion lowers counts and takes lines that reach zero out
-of the filters, so that a later insertion finds them new again. Versions of the
+of the filters, so that a later insertion finds them new again. A ledger holds which
+documents, by id and a hash of the text, are inserted: each counts once, however often it is
+inserted, and only what is there can be deleted. Versions of the
 state are written side by side; a lost executor never leaves half a version.
 """
 
@@ -16,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, fresh, mix, table
+from .common import U64, Bloom, checkpointed, fresh, mix, small_batches, table
 
 #: Parts in which the query inserts its documents.
 INCREMENTS = 2
-#: Lines of a shard, as the first insertion sets the number of shards.
+#: Lines of a shard; there are new shards when it holds twice as many.
 SHARD_LINES = 250_000
 SLOTS = 4
 KICKS = 500
 FILTER_SCHEMA = "shard int, buckets bigint, slots binary"
+COUNTED_SCHEMA = "h1 bigint, h2 bigint, refs bigint, first_doc bigint, first_line int, first_text bigint"
+REFS_SCHEMA, LEDGER_SCHEMA = "h1 bigint, h2 bigint, refs bigint", "doc_id bigint, text_hash bigint"
 
 
 class Cuckoo:
@@ -90,12 +94,19 @@ class Cuckoo:
 
     def remove(self, h: np.ndarray) -> None:
         """Takes out one fingerprint for each hash; all of them must have been inserted."""
-        for mark, a, b in zip(*(x.tolist() for x in self._of(h))):
-            for bucket in (a, b):
-                hit = np.flatnonzero(self.slots[bucket] == mark)
-                if len(hit):
-                    self.slots[bucket, hit[0]] = 0
-                    break
+        mark, *buckets = self._of(h)
+        left = np.arange(len(mark))
+        for bucket in buckets:
+            missing = [left[:0]]
+            while len(left):
+                _, lead = np.unique(bucket[left], return_index=True)  # one fingerprint of a bucket at a time
+                at = left[lead]
+                hit = self.slots[bucket[at]] == mark[at, None]
+                found = hit.any(1)
+                self.slots[bucket[at[found]], hit[found].argmax(1)] = 0
+                missing.append(at[~found])
+                left = np.delete(left, lead)
+            left = np.concatenate(missing)
 
     @classmethod
     def build(cls, h: np.ndarray, items: int | None = None) -> Cuckoo:
@@ -105,17 +116,23 @@ class Cuckoo:
         return made
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, and both hashes of each line; blank lines are left out."""
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, text of rows that have both."""
+    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line_no, and both hashes of each line; blank lines are left out."""
+    own = texts.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     own = own.where(F.trim(F.col("line")) != "")
-    return own.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(97), "line").alias("h2"))
+    return own.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(97), "line").alias("h2"))
 
 
 def _counted(lines: DataFrame) -> DataFrame:
     """Each line's places and the first of them."""
-    once = lines.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min(F.struct("doc_id", "line_no")).alias("first"))
-    return once.select("h1", "h2", "refs", "first.doc_id", "first.line_no")
+    once = lines.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min(F.struct("doc_id", "line_no", "text_hash")).alias("first"))
+    return once.select("h1", "h2", "refs", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), F.col("first.text_hash").alias("first_text"))
 
 
 def _hashes(rows: pa.Table) -> np.ndarray:
@@ -146,68 +163,99 @@ def _renew(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 class LineIndex:
-    """The lines of the documents inserted so far: refs(h1, h2, refs) and filters(shard, buckets, slots).
+    """The documents inserted so far: refs(h1, h2, refs) of their lines, filters(shard, buckets, slots), ledger(doc_id, text_hash).
 
-    The number of shards is set by the first insertion, so that a shard holds
-    about SHARD_LINES lines, and by resharded().
+    A shard holds about SHARD_LINES lines; when there are twice as many, the filters are built again in more shards.
     """
 
-    def __init__(self, refs: DataFrame, filters: DataFrame, shards: int) -> None:
-        self.refs, self.filters, self.shards = refs, filters, shards
+    def __init__(self, refs: DataFrame, filters: DataFrame, ledger: DataFrame, shards: int) -> None:
+        self.refs, self.filters, self.ledger, self.shards = refs, filters, ledger, shards
 
     @classmethod
     def empty(cls, spark: SparkSession) -> LineIndex:
-        return cls(spark.createDataFrame([], "h1 bigint, h2 bigint, refs bigint"), spark.createDataFrame([], FILTER_SCHEMA), 0)
+        return cls(*(spark.createDataFrame([], s) for s in (REFS_SCHEMA, FILTER_SCHEMA, LEDGER_SCHEMA)), 0)
 
     def save(self, path: str) -> None:
         self.refs.write.parquet(f"{path}/refs")
+        self.ledger.write.parquet(f"{path}/ledger")
         self.filters.withColumn("shards", F.lit(self.shards)).write.parquet(f"{path}/filters")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LineIndex:
         filters = spark.read.parquet(f"{path}/filters")
-        return cls(spark.read.parquet(f"{path}/refs"), filters.drop("shards"), filters.agg(F.max("shards")).first()[0] or 0)
+        return cls(spark.read.parquet(f"{path}/refs"), filters.drop("shards"), spark.read.parquet(f"{path}/ledger"), filters.agg(F.max("shards")).first()[0] or 0)
 
     def _shard(self) -> Column:
         return F.pmod("h1", F.lit(self.shards)).cast("int").alias("shard")
 
     def resharded(self, shards: int) -> LineIndex:
         """The same lines in another number of shards; the filters are built again from the exact table."""
-        new = LineIndex(self.refs, self.filters, shards)
+        new = LineIndex(self.refs, self.filters, self.ledger, shards)
         rows = self.refs.select(new._shard(), "h2", F.lit(1).alias("change"))
         none = self.filters.where(F.lit(False)).groupBy("shard")
         new.filters = rows.groupBy("shard").cogroup(none).applyInArrow(_renew, FILTER_SCHEMA)
         return new
 
+    def _once(self, docs: DataFrame, held: bool) -> tuple[DataFrame, DataFrame]:
+        """Texts of docs, each document once, that the ledger holds or (held False) doesn't; and their ids.
+
+        Only rows that may repeat or be in the ledger are shuffled.
+        """
+        small_batches(docs.sparkSession)
+        texts, key = _texts(docs), ["doc_id", "text_hash"]
+        ids = checkpointed(texts.groupBy(*key).agg(F.count("*").alias("n")))
+        known = checkpointed(ids.join(self.ledger, key, "left_semi").select(*key)) if self.shards else self.ledger
+        if held:
+            few = texts.where(Bloom(known.select("doc_id")).may_hold(F.col("doc_id"))).dropDuplicates(key)
+            return few.join(known, key, "left_semi"), known
+        odd = checkpointed(ids.where("n > 1").select(*key).union(known).select("doc_id"))
+        new = ids.select(*key).join(known, key, "left_anti") if self.shards else ids.select(*key)
+        if odd.isEmpty():
+            return texts, new
+        (maybe,) = fresh(texts, "line_maybe")
+        marked = texts.withColumn(maybe, Bloom(odd).may_hold(F.col("doc_id")))
+        few = marked.where(F.col(maybe)).dropDuplicates(key).join(known, key, "left_anti")
+        return marked.where(~F.col(maybe)).unionByName(few).drop(maybe), new
+
     def insert(self, docs: DataFrame, last: bool = False) -> tuple[DataFrame, LineIndex | None]:
-        """dropped(doc_id, line_no) and the index afterwards.
+        """dropped(doc_id, text_hash, line_no) and the index afterwards.
 
         A line of the new documents is dropped if an earlier insertion holds
-        it, or if it isn't at its first place, by doc_id and line number, among
-        the new ones. After the last insertion of a job, there is no index.
+        it, or if it isn't at its first place, by doc_id, line number and text hash, among
+        the new ones. Documents that are in the index already are passed over: nothing of them is
+        dropped or counted. After the last insertion of a job, there is no index.
         """
-        lines = checkpointed(_lines(docs))
+        texts, ids = self._once(docs, False)
+        lines = checkpointed(_lines(texts))
         state = checkpointed(_counted(lines))
         if self.shards:
-            probed = checkpointed(state.select("*", self._shard()).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_probe, "h1 bigint, h2 bigint, refs bigint, doc_id bigint, line_no int, known boolean"))
+            probed = checkpointed(state.select("*", self._shard()).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_probe, f"{COUNTED_SCHEMA}, known boolean"))
             old = probed.where("known").select("h1", "h2").join(self.refs.select("h1", "h2"), ["h1", "h2"], "left_semi").withColumn("old", F.lit(True))
             state = checkpointed(probed.drop("known").join(old, ["h1", "h2"], "left"))
         else:
             state = state.withColumn("old", F.lit(None).cast("boolean"))
-        doubtful = state.where("refs > 1 or old").select("h1", "h2", "old", F.col("doc_id").alias("keep_doc"), F.col("line_no").alias("keep_line"))
-        dropped = lines.join(doubtful, ["h1", "h2"]).where("old or doc_id <> keep_doc or line_no <> keep_line").select("doc_id", "line_no").distinct()
-        return dropped, None if last else self._changed(state.select("h1", "h2", "refs"))
+        doubtful = state.where("refs > 1 or old").drop("refs")
+        other = "old or doc_id <> first_doc or line_no <> first_line or text_hash <> first_text"
+        dropped = lines.join(doubtful, ["h1", "h2"]).where(other).select("doc_id", "text_hash", "line_no")
+        return dropped, None if last else self._changed(state.select("h1", "h2", "refs"), self.ledger.union(ids))
 
     def delete(self, docs: DataFrame) -> LineIndex:
-        """The index without these documents, which must have been inserted before with the same texts."""
-        return self._changed(_counted(_lines(docs)).select("h1", "h2", (-F.col("refs")).alias("refs")))
+        """The index without these documents. Those that it doesn't hold, with these texts, are passed over."""
+        texts, ids = self._once(docs, True)
+        return self._changed(_counted(_lines(texts)).select("h1", "h2", (-F.col("refs")).alias("refs")), self.ledger.join(ids, ["doc_id", "text_hash"], "left_anti"))
 
-    def _changed(self, delta: DataFrame) -> LineIndex:
+    def _changed(self, delta: DataFrame, ledger: DataFrame) -> LineIndex:
         zero = F.lit(0).cast("bigint")
         both = self.refs.select("h1", "h2", zero.alias("d"), "refs").unionByName(delta.select("h1", "h2", F.col("refs").alias("d"), zero.alias("refs")))
         after = both.groupBy("h1", "h2").agg(F.sum("refs").alias("before"), (F.sum("refs") + F.sum("d")).alias("refs"))
-        after = checkpointed(after.withColumn("change", (F.col("refs") > 0).cast("int") - (F.col("before") > 0).cast("int")).where("refs > 0 or before > 0"))
-        new = LineIndex(after.where("refs > 0").select("h1", "h2", "refs"), self.filters, self.shards or max(1, -(-after.count() // SHARD_LINES)))
+        after = checkpointed(after.withColumn("change", (F.col("refs") > 0).cast("int") - (F.col("before") > 0).cast("int")).where("refs <> 0 or before > 0"))
+        lines, least = after.agg(F.count("*"), F.min("refs")).first()
+        if (least or 0) < 0:
+            raise ValueError("a line would be referred to by less than no documents; the index isn't that of its ledger")
+        want = max(1, -(-lines // SHARD_LINES))
+        new = LineIndex(after.where("refs > 0").select("h1", "h2", "refs"), self.filters, checkpointed(ledger), self.shards or want)
+        if want >= 2 * new.shards:
+            return new.resharded(want)
         new.filters = after.select(new._shard(), "h2", "change").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_renew, FILTER_SCHEMA)
         return new
 
@@ -218,9 +266,9 @@ def strip_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     n_chars, where there is one, becomes the length of the new text. Texts that
     lose nothing stay as they are, as do rows without doc_id or text.
     """
-    key, gone, left = fresh(docs, "line_doc", "line_gone", "line_left")
-    by = dropped.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("line_no").alias(gone))
-    x = docs.join(by, F.col("doc_id") == F.col(key), "left")
+    key, mark, gone, left = fresh(docs, "line_doc", "line_text", "line_gone", "line_left")
+    by = dropped.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(mark)).agg(F.collect_list("line_no").alias(gone))
+    x = docs.join(by, (F.col("doc_id") == F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(mark)), "left")
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col(gone), i))
     x = x.withColumn(left, F.when(F.col(gone).isNotNull() & F.col("text").isNotNull(), F.array_join(kept, "\n")))
     x = x.where(F.col(left).isNull() | (F.trim(F.translate(F.col(left), "\n", " ")) != ""))
@@ -237,8 +285,8 @@ def dedup_lines(docs: DataFrame, increments: int = INCREMENTS) -> DataFrame:
     came before if it is in an earlier increment, or in its own at a smaller
     (doc_id, line number). Lines are parted by line feeds and compared as they
     are. Blank lines are never duplicates. Rows without doc_id or text pass and
-    count for nothing. Rows that repeat a doc_id share a fate: a line of a given
-    number goes from all of them or stays in all. An empty text stays; a text that
+    count for nothing. Rows that repeat a doc_id and a text are one document and share a fate; rows
+    of one doc_id and different texts are different documents. An empty text stays; a text that
     had lines and loses them all goes with its row. An empty table stays empty.
     """
     index, dropped = LineIndex.empty(docs.sparkSession), None
@@ -252,12 +300,26 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
 
 
-QUERIES = {"op6_line_dedup": op6_line_dedup}
+def line_dedup_reinserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, dropped_lines: every fifth document is deleted from an index of all documents, twice, and inserted again; of those, the lines that aren't new."""
+    docs = table(spark, sf_dir, "documents")
+    some = docs.where("doc_id % 5 = 0")
+    index = LineIndex.empty(spark).insert(docs)[1].insert(docs.where("doc_id % 3 = 0"))[1].delete(some).delete(some)
+    dropped, _ = index.insert(some, last=True)
+    return dropped.groupBy("doc_id").agg(F.count("*").alias("dropped_lines"))
+
+
+QUERIES = {"op6_line_dedup": op6_line_dedup, "line_dedup_reinserted": line_dedup_reinserted}
 SQL = {
     "op6_line_dedup": """
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
 k AS (SELECT *, trim(line, ' ') = '' OR row_number() OVER (PARTITION BY line ORDER BY doc_id % 2, doc_id, i) = 1 AS keep FROM l),
 t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keep) AS text, bool_and(keep) AS whole FROM k GROUP BY doc_id)
 SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n_chars FROM t WHERE whole OR trim(replace(text, chr(10), ' '), ' ') <> ''
-"""
+""",
+    "line_dedup_reinserted": """
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS again FROM l WHERE doc_id % 5 = 0 AND trim(line, ' ') <> '')
+SELECT doc_id, count(*) AS dropped_lines FROM k WHERE again OR line IN (SELECT line FROM l WHERE doc_id % 5 <> 0) GROUP BY doc_id
+""",
 }
