@@ -3,28 +3,32 @@
 A document's score is a linear function of features of its whole text. The
 weights come from preference pairs (a labelled good document over a labelled
 poor one): the logistic loss of feature differences, minimised by Newton steps.
-The rejection threshold lies between two score quantiles that are taken over
-every labelled document: a low one of the good and a high one of the poor.
+The rejection threshold is a score quantile of the good labelled documents, at most
+GOOD_BOUND: the one that parts all labelled documents best. Features of the corpus are made once, where
+it is scored; the fit reads the labelled documents only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, raw, slices, strings, table, words
+from .common import Bloom, checkpointed, fresh, raw, slices, small_batches, strings, table, words
 
 FEATURES = ("upper", "symbols", "pipes", "exclaims", "digits", "repeats", "word_bytes", "stops", "log_words")
 #: Rows of each class that the fit may use, taken in hash order of doc_id; the only bound in this module.
 SAMPLE_PER_CLASS = 4000
 PAIRS_PER_GOOD = 5
-GOOD_QUANTILE, POOR_QUANTILE = 0.0005, 0.99
+#: The greatest part of the good labelled documents that may be rejected.
+GOOD_BOUND = 0.05
 BINS = 1000
+#: A text counts as words of that many bytes at most, so that scripts without spaces aren't one word.
+LONG_WORD = 12
 
 _KINDS = np.zeros((7, 256), np.float32)
 _KINDS[0, ord("A") : ord("Z") + 1] = 1
@@ -53,11 +57,11 @@ def features(array: pa.Array) -> np.ndarray:
             same[2:] = np.cumsum((w.hash[1:] == w.hash[:-1]) & (w.row[1:] == w.row[:-1]))
         length = np.zeros(len(w.hash) + 1)
         np.cumsum(w.end - w.start, out=length[1:])
-        per = np.maximum(n, 1)
+        per = np.maximum(np.maximum(n, size / LONG_WORD), 1)
         repeats = np.where(n > 1, same[w.bounds[1:]] - same[np.minimum(w.bounds[:-1] + 1, w.bounds[1:])], 0)
         x = np.column_stack([
             counts[:, 0] / np.maximum(counts[:, 6], 1), counts[:, 1] / per, counts[:, 2] / per, counts[:, 3] / per, counts[:, 4] / np.maximum(size, 1),
-            repeats / per, (length[w.bounds[1:]] - length[w.bounds[:-1]]) / per / 10, counts[:, 5] / per, np.log1p(n) / 10,
+            repeats / per, (length[w.bounds[1:]] - length[w.bounds[:-1]]) / per / 10, counts[:, 5] / per, np.log1p(np.where(n > 0, per, 0)) / 10,
         ])
         out.append(np.where(n[:, None] > 0, x, 0.0))
     return np.concatenate(out)
@@ -82,9 +86,13 @@ class Model:
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     threshold: float | None
+    low: tuple[float, ...] | None = None
+    high: tuple[float, ...] | None = None
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """Scores to 1/BINS, so that their histogram is exact."""
+        """Scores to 1/BINS, so that their histogram is exact. A feature beyond all rows of the fit counts like the nearest of theirs."""
+        if self.low is not None:
+            x = np.clip(x, self.low, self.high)
         s = (x - np.array(self.mean)) / np.array(self.scale) @ np.array(self.weights)
         return np.round(np.clip(s, -1e6, 1e6) * BINS) / BINS
 
@@ -112,44 +120,38 @@ def fit_pairs(good: np.ndarray, poor: np.ndarray, per_good: int = PAIRS_PER_GOOD
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return Model(tuple(w), tuple(mean), tuple(scale), None)
+    return Model(tuple(w), tuple(mean), tuple(scale), None, tuple(both.min(0)), tuple(both.max(0)))
 
 
 def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """quality, score of rows of quality and x."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(x))], ["quality", "score"])
 
-    return rows.select("doc_id", "x").mapInArrow(run, "doc_id bigint, score double")
+    return rows.select(F.col("quality").cast("int"), "x").mapInArrow(run, "quality int, score double")
 
 
-def quantile_threshold(scored: DataFrame, labels: DataFrame, good_q: float = GOOD_QUANTILE, poor_q: float = POOR_QUANTILE) -> float | None:
-    """The score below which documents are rejected; None rejects none.
+def quantile_threshold(labelled: DataFrame, bound: float = GOOD_BOUND) -> float | None:
+    """The score below which documents are rejected, from rows (score, quality); None rejects none.
 
-    From the exact histogram of all labelled documents' scores: midway between
-    the good_q quantile of the good and the poor_q quantile of the poor where
-    the classes are apart, else the good_q quantile of the good.
+    From the exact histogram of all scores: of the quantiles of the good up to bound, the one
+    of the greatest share of poor ones rejected less that of good ones; of equally good ones, the middle of the widest gap
+    between scores. With the histogram's bins, what the driver gets is bounded by the range of scores.
     """
-    hist = scored.join(labels, "doc_id").groupBy("quality", "score").agg(F.count("*").alias("n"))
-    by = hist.select("quality", "score", F.sum("n").over(_upto()).alias("upto"), F.sum("n").over(_all()).alias("total"))
-    row = by.agg(
-        F.min(F.when((F.col("quality") == 1) & (F.col("upto") > F.col("total") * good_q), F.col("score"))).alias("good"),
-        F.min(F.when((F.col("quality") == 0) & (F.col("upto") >= F.col("total") * poor_q), F.col("score"))).alias("poor"),
-    ).first()
-    if row["good"] is None or row["poor"] is None:
+    hist = labelled.groupBy("score").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("poor")).toArrow()
+    order = np.argsort(hist["score"].to_numpy())
+    score, good, poor = (hist[c].to_numpy()[order].astype(float) for c in ("score", "good", "poor"))
+    if not good.sum() or not poor.sum():
         return None
-    return (row["good"] + row["poor"]) / 2 if row["poor"] < row["good"] else row["good"]
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("quality")
-
-
-def _upto():
-    return _all().orderBy("score")
+    # a threshold between the scores i - 1 and i
+    lost, caught = (np.concatenate([[0.0], np.cumsum(x)[:-1]]) / x.sum() for x in (good, poor))
+    gain = np.where(lost <= bound, caught - lost, -1.0)
+    gap = np.diff(score, prepend=score[0])
+    i = max(range(len(score)), key=lambda k: (round(gain[k], 12), gap[k]))
+    return float(score[i] - gap[i] / 2)
 
 
 def clean_labels(labels: DataFrame) -> DataFrame:
@@ -157,16 +159,18 @@ def clean_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
-def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS) -> Model:
-    """A model from feature_table() rows and labels(doc_id, quality)."""
-    labelled = rows.join(clean_labels(labels), "doc_id")
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS) -> Model:
+    """A model from docs and labels(doc_id, quality); only texts that may be labelled are read on."""
+    small_batches(docs.sparkSession)
+    clean = checkpointed(clean_labels(labels))
+    rows = feature_table(docs.where(Bloom(clean.select("doc_id")).may_hold(F.col("doc_id").cast("bigint"))))
+    labelled = checkpointed(rows.join(clean, "doc_id"))
     data = {}
     for quality in (1, 0):
         own = labelled.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
         data[quality] = np.array([r["x"] for r in own]).reshape(-1, len(FEATURES))
     model = fit_pairs(data[1], data[0])
-    at = quantile_threshold(_scored(rows, model), clean_labels(labels))
-    return Model(model.weights, model.mean, model.scale, at)
+    return replace(model, threshold=quantile_threshold(_scored(labelled, model)))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -178,9 +182,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows without doc_id or text aren't in the result. Other columns of the
     inputs don't matter.
     """
-    rows = checkpointed(feature_table(docs))
-    model = fit(rows, labels)
-    return _scored(rows, model).select("doc_id", "score", (F.lit(True) if model.threshold is None else F.col("score") >= model.threshold).alias("keep"))
+    model = fit(docs, labels)
+    own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), score_column(model, F.col("text")).alias("score"))
+    return own.withColumn("keep", F.lit(True) if model.threshold is None else F.col("score") >= model.threshold)
 
 
 def score_column(model: Model, text: Column) -> Column:
@@ -199,7 +203,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows without text or doc_id can't be judged by score and label: a null text
     is kept, a text without doc_id is judged by its score.
     """
-    model = fit(checkpointed(feature_table(docs)), labels)
+    model = fit(docs, labels)
     if model.threshold is None:
         return docs
     (score,) = fresh(docs, "quality_score")
