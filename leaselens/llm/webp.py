@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 HASH = 0x1E35A7BD
@@ -32,72 +32,53 @@ def _near() -> list[tuple[int, int]]:
 
 
 NEAR = _near()
+_NEAR = np.array(NEAR, np.int64)
 
 
 class Bits:
-    """Bits of a byte string, the lowest of each byte first."""
+    """Bits of a byte string, the lowest of each byte first; zeros after its end."""
 
     def __init__(self, data: bytes) -> None:
-        self.data = data
-        self.value = int.from_bytes(data[:64], "little")
-        self.have = 8 * len(data[:64])
-        self.next, self.padded = 64, 0
-
-    def fill(self) -> None:
-        more = self.data[self.next : self.next + 64]
-        self.value |= int.from_bytes(more, "little") << self.have
-        self.have += 8 * len(more)
-        self.next += 64
-        if not more:  # past the end: zeros, as long as a code may need
-            self.have += 512
-            self.padded += 512
+        self.data, self.at = data, 0
+
+    def peek(self, n: int) -> int:
+        first = self.at >> 3
+        return int.from_bytes(self.data[first : first + 8], "little") >> (self.at & 7) & ((1 << n) - 1)
 
     def read(self, n: int) -> int:
-        while self.have < n:
-            self.fill()
-        out = self.value & ((1 << n) - 1)
-        self.value >>= n
-        self.have -= n
+        out = self.peek(n)
+        self.at += n
         return out
 
     def ended(self) -> bool:
         """Whether more bits were taken than there are."""
-        return self.padded > 0 and self.have < self.padded
+        return self.at > 8 * len(self.data)
 
 
 class Code:
-    """A canonical prefix code, as a table over the next bits: entry (symbol << 4 | length)."""
+    """A canonical prefix code, as tables over the next width bits: symbol and length; none are read for a code of one symbol."""
 
     def __init__(self, lengths: list[int]) -> None:
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.only = used[0][1] if len(used) == 1 else (0 if not used else None)
-        if self.only is not None:
+        used = sorted((n, s) for s, n in enumerate(lengths) if n)
+        if len(used) < 2:
+            self.width, self.symbol, self.length = 0, np.array([used[0][1] if used else 0], np.int32), np.zeros(1, np.int32)
             return
-        used.sort()
         self.width = max(n for n, _ in used)
         if sum(1 << (self.width - n) for n, _ in used) != 1 << self.width:
             raise ValueError("an incomplete prefix code")
-        self.table = [0] * (1 << self.width)
+        self.symbol, self.length = np.zeros(1 << self.width, np.int32), np.zeros(1 << self.width, np.int32)
         code, last = 0, used[0][0]
         for n, symbol in used:
             code <<= n - last
             last = n
             back = int(f"{code:0{n}b}"[::-1], 2)
-            step = 1 << n
-            self.table[back::step] = [symbol << 4 | n] * (1 << (self.width - n))
+            self.symbol[back :: 1 << n], self.length[back :: 1 << n] = symbol, n
             code += 1
-        self.mask = (1 << self.width) - 1
 
     def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        if bits.have < 16:
-            bits.fill()
-        entry = self.table[bits.value & self.mask]
-        n = entry & 15
-        bits.value >>= n
-        bits.have -= n
-        return entry >> 4
+        k = bits.peek(self.width)
+        bits.at += int(self.length[k])
+        return int(self.symbol[k])
 
 
 def read_code(bits: Bits, size: int) -> Code:
@@ -131,57 +112,186 @@ def read_code(bits: Bits, size: int) -> Code:
     return Code(lengths)
 
 
-def _number(bits: Bits, prefix: int) -> int:
-    """A length or distance from its prefix and extra bits."""
-    if prefix < 4:
-        return prefix + 1
-    extra = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
+#: Bits of a stretch of data that is parsed at once, and the most bits that one pixel or copy takes.
+STRETCH, LONGEST = 1 << 17, 128
+#: Of an image of fewer pixels, predictions are undone one by one.
+FEW_PIXELS = 1 << 12
+
+
+def _numbers(words: np.ndarray, at: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances from their prefixes and the extra bits at these places, and the places after them."""
+    extra = np.maximum(prefix - 2, 0) >> 1
+    value = (words[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & ((1 << extra) - 1)
+    return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << extra) + value) + 1, at + extra
+
+
+class Stretch:
+    """What a group of five prefix codes reads from each bit of a stretch: symbols and where the next pixel or copy begins."""
+
+    def __init__(self, words: np.ndarray, bits: int, codes: list[Code]) -> None:
+        self.words, self.codes, self.last = words, codes, bits - 1
+        shifted = np.empty((len(words), 8), np.uint32)
+        for k in range(8):
+            shifted[:, k] = words >> np.uint64(k) & np.uint64(0xFFFF)
+        self.window = window = shifted.ravel()[:bits].astype(np.int32)
+        green, red, blue, alpha, distance = codes
+        here = np.arange(bits, dtype=np.int32)
+        k = window & ((1 << green.width) - 1)
+        at = here + green.length[k]
+        end = np.minimum(at, self.last)
+        for code in (red, blue, alpha):
+            if code.width:
+                end += code.length[window & ((1 << code.width) - 1)][end]
+                np.minimum(end, self.last, out=end)
+        pixels = None
+        if (green.symbol >= 256).any():
+            s = green.symbol[k]
+            end = np.where(s >= 280, at, end)
+            own = np.flatnonzero((s >= 256) & (s < 280))
+            if len(own):
+                pixels = np.ones(bits, np.int64)
+                pixels[own], after = _numbers(words, np.minimum(at[own], self.last), s[own].astype(np.int64) - 256)
+                prefix, after = self._read(distance, np.minimum(after, self.last))
+                end[own] = _numbers(words, np.minimum(after, self.last), prefix.astype(np.int64))[1]
+        self.next, self.pixels = memoryview(end), None if pixels is None else memoryview(pixels)
+
+    def _read(self, code: Code, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(at, self.last)
+        k = self.window[at] & ((1 << code.width) - 1)
+        return code.symbol[k], at + code.length[k]
+
+    def ops(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """At these bits: kind (0 a pixel, 1 a copy, 2 a place in the cache), value (ARGB, length or place) and distance."""
+        green, red, blue, alpha, distance = self.codes
+        s, at = self._read(green, starts)
+        r, to = self._read(red, at)
+        b, to = self._read(blue, to)
+        a, _ = self._read(alpha, to)
+        kind = np.where(s < 256, 0, np.where(s < 280, 1, 2)).astype(np.int8)
+        value, far = a.astype(np.int64) << 24 | r.astype(np.int64) << 16 | s.astype(np.int64) << 8 | b, np.zeros(len(starts), np.int64)
+        value[kind == 2] = s[kind == 2] - 280
+        own = np.flatnonzero(kind == 1)
+        if len(own):
+            value[own], at = _numbers(self.words, at[own], s[own].astype(np.int64) - 256)
+            prefix, at = self._read(distance, at)
+            far[own] = _numbers(self.words, np.minimum(at, self.last), prefix.astype(np.int64))[0]
+        return kind, value, far
+
+
+def _parse(bits: Bits, total: int, codes: list[list[Code]], group_of: Callable[[int], int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """kind, value and distance of the pixels and copies that make up total pixels.
+
+    All bits of a stretch are looked up at once, as if a pixel began at each; then the chain of those
+    that do is followed.
+    """
+    found: list[tuple] = []
+    n = 0
+    while n < total:
+        if bits.ended():
+            raise ValueError("the data ends early")
+        first = bits.at >> 3
+        raw = np.frombuffer(bits.data[first : first + (STRETCH + LONGEST >> 3) + 16], np.uint8)
+        data = np.zeros(len(raw) + 24, np.uint64)
+        data[: len(raw)] = raw
+        words = data[:-7].copy()
+        for k in range(1, 7):
+            words |= data[k : len(data) - 7 + k] << np.uint64(8 * k)
+        size = min(8 * (len(words) - 1), STRETCH + LONGEST)
+        # few pixels need few bits: a pixel takes 60 at most
+        size = min(size, (bits.at & 7) + 64 * (total - n) + LONGEST)
+        stop = min(size - LONGEST, STRETCH)
+        made: dict[int, Stretch] = {}
+        p, end = bits.at & 7, 8 * len(raw)
+        runs: list[tuple[int, list[int]]] = []
+        while n < total and p < stop and p <= end:
+            g = group_of(n) if group_of else 0
+            if g not in made:
+                made[g] = Stretch(words, size, codes[g])
+            if not runs or runs[-1][0] != g:
+                runs.append((g, []))
+            mine, own, nexts = made[g], runs[-1][1], made[g].next
+            pixels = mine.pixels
+            if group_of is None and pixels is None:
+                begin = len(own)
+                while p < stop:
+                    own.append(p)
+                    p = nexts[p]
+                    if len(own) - begin == total - n:
+                        break
+                n += len(own) - begin
+            elif group_of is None:
+                while n < total and p < stop:
+                    own.append(p)
+                    n += pixels[p]
+                    p = nexts[p]
+            else:
+                own.append(p)
+                n += 1 if pixels is None else pixels[p]
+                p = nexts[p]
+        for g, starts in runs:
+            found.append(made[g].ops(np.array(starts, np.int64)))
+        bits.at = 8 * first + p
+        if p > end:
+            raise ValueError("the data ends early")
+    kind, value, far = (np.concatenate(x) for x in zip(*found))
+    return kind, value, far
 
 
-def read_pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
+def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image: colour cache, groups of five prefix codes (of main images, by block), pixels."""
     cache_bits = bits.read(4) if bits.read(1) else 0
-    block, groups, meta = 0, 1, None
+    if cache_bits > 11:
+        raise ValueError("a colour cache of more than 11 bits")
+    group_of, groups = None, 1
     if main and bits.read(1):
         block = bits.read(3) + 2
         columns = (width + (1 << block) - 1) >> block
-        meta = [p >> 8 & 0xFFFF for p in read_pixels(bits, columns, (height + (1 << block) - 1) >> block, False)]
+        meta = (read_pixels(bits, columns, (height + (1 << block) - 1) >> block, False) >> 8 & 0xFFFF).astype(int).tolist()
         groups = max(meta) + 1
+        group_of = (lambda n: meta[(n // width >> block) * columns + (n % width >> block)]) if groups > 1 else None
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(bits, s) for s in sizes] for _ in range(groups)]
-    total, out = width * height, []
-    cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
-    green, red, blue, alpha, distance = codes[0]
-    while len(out) < total:
-        if meta is not None:
-            y, x = divmod(len(out), width)
-            green, red, blue, alpha, distance = codes[meta[(y >> block) * columns + (x >> block)]]
-        s = green.read(bits)
-        if s < 256:
-            r = red.read(bits)
-            b = blue.read(bits)
-            new = [alpha.read(bits) << 24 | r << 16 | s << 8 | b]
-        elif s < 280:
-            length = _number(bits, s - 256)
-            d = _number(bits, distance.read(bits))
-            if d > 120:
-                d -= 120
-            else:
-                left, up = NEAR[d - 1]
-                d = max(1, left + up * width)
-            if d > len(out) or len(out) + length > total:
-                raise ValueError("a back-reference out of the image")
-            new = (out[-d:] * (length // d + 1))[:length]
+    total = width * height
+    kind, value, far = _parse(bits, total, codes, group_of)
+    size = np.where(kind == 1, value, 1)
+    at = np.cumsum(size) - size
+    if at[-1] + size[-1] != total:
+        raise ValueError("a copy runs over the image")
+    own = np.flatnonzero(kind == 1)
+    if len(own):
+        near = far[own] <= 120
+        left, up = _NEAR[np.minimum(far[own], 120) - 1].T
+        far[own] = np.where(near, np.maximum(1, left + up * width), far[own] - 120)
+        if (far[own] > at[own]).any():
+            raise ValueError("a back-reference out of the image")
+    if cache_bits and (kind == 2).any():
+        return _with_cache(kind, value, far, total, cache_bits)
+    out = np.zeros(total, np.uint32)
+    plain = kind == 0
+    out[at[plain]] = value[plain]
+    for p, n, d in zip(at[own].tolist(), value[own].tolist(), far[own].tolist()):
+        if d >= n:
+            out[p : p + n] = out[p - d : p - d + n]
         else:
-            new = [cache[s - 280]]
-        out += new
-        if cache_bits:
+            out[p : p + n] = np.resize(out[p - d : p], n)
+    return out
+
+
+def _with_cache(kind: np.ndarray, value: np.ndarray, far: np.ndarray, total: int, cache_bits: int) -> np.ndarray:
+    """Pixels of an image that uses its colour cache, one after the other."""
+    out: list[int] = []
+    cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
+    for k, v, d in zip(kind.tolist(), value.tolist(), far.tolist()):
+        if k == 1:
+            new = (out[-d:] * (v // d + 1))[:v]
+            out += new
             for p in new:
                 cache[(HASH * p & 0xFFFFFFFF) >> shift] = p
-        if bits.padded and bits.ended():
-            raise ValueError("the data ends early")
-    return out
+        else:
+            p = v if k == 0 else cache[v]
+            out.append(p)
+            cache[(HASH * p & 0xFFFFFFFF) >> shift] = p
+    return np.array(out, np.uint32)
 
 
 def _parts(x: np.ndarray) -> np.ndarray:
@@ -195,16 +305,8 @@ def _joined(p: np.ndarray) -> np.ndarray:
     return (p[..., 0] << 24 | p[..., 1] << 16 | p[..., 2] << 8 | p[..., 3]).astype(np.uint32)
 
 
-def _average(a: tuple, b: tuple) -> tuple:
-    return tuple((x + y) >> 1 for x, y in zip(a, b))
-
-
-def _clamped(values: Iterator[int]) -> tuple:
-    return tuple(0 if v < 0 else 255 if v > 255 else v for v in values)
-
-
-def predicted(mode: int, left: tuple, top: tuple, right: tuple, corner: tuple) -> tuple:
-    """A pixel's prediction from its neighbours to the left, above, above right and above left."""
+def predicted(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Predictions of pixels (rows of four channels) from their neighbours to the left, above, above right and above left."""
     if mode == 1:
         return left
     if mode == 2:
@@ -214,51 +316,109 @@ def predicted(mode: int, left: tuple, top: tuple, right: tuple, corner: tuple) -
     if mode == 4:
         return corner
     if mode == 5:
-        return _average(_average(left, right), top)
+        return ((left + right >> 1) + top) >> 1
     if mode == 6:
-        return _average(left, corner)
+        return left + corner >> 1
     if mode == 7:
-        return _average(left, top)
+        return left + top >> 1
     if mode == 8:
-        return _average(corner, top)
+        return corner + top >> 1
     if mode == 9:
-        return _average(top, right)
+        return top + right >> 1
     if mode == 10:
-        return _average(_average(left, corner), _average(top, right))
+        return ((left + corner >> 1) + (top + right >> 1)) >> 1
     if mode == 11:
-        to_left = sum(abs(t - c) for t, c in zip(top, corner))
-        to_top = sum(abs(p - c) for p, c in zip(left, corner))
-        return left if to_left < to_top else top
+        nearer = np.abs(top - corner).sum(-1, keepdims=True) < np.abs(left - corner).sum(-1, keepdims=True)
+        return np.where(nearer, left, top)
     if mode == 12:
-        return _clamped(p + t - c for p, t, c in zip(left, top, corner))
+        return np.clip(left + top - corner, 0, 255)
     if mode == 13:
-        return _clamped(a + int((a - c) / 2) for a, c in zip(_average(left, top), corner))
-    return (255, 0, 0, 0)
+        mean = left + top >> 1
+        half = mean - corner
+        return np.clip(mean + (half + (half < 0) >> 1), 0, 255)
+    return np.broadcast_to(np.array([255, 0, 0, 0]), left.shape)
 
 
 def predictor(x: np.ndarray, width: int, height: int, bits: int, modes: np.ndarray, inverse: bool) -> np.ndarray:
-    """Adds each pixel's prediction, or (forward) takes it off."""
-    given = [tuple(p) for p in _parts(x).tolist()]
-    done = [] if inverse else given  # the pixels that predictions are made from
-    out: list[tuple] = []
+    """Adds each pixel's prediction, or (forward) takes it off.
+
+    The first row is predicted from the left, the first column from above. Pixels whose
+    column plus twice their row is equal don't need each other: they are undone together, or, in a small image, one by one.
+    """
+    given = _parts(x)
     columns = (width + (1 << bits) - 1) >> bits
-    kinds = (np.asarray(modes) >> 8 & 15).tolist()
-    sign = 1 if inverse else -1
-    for i in range(width * height):
-        row, column = divmod(i, width)
-        if i == 0:
-            guess = (255, 0, 0, 0)
-        elif row == 0:
-            guess = done[i - 1]
-        elif column == 0:
-            guess = done[i - width]
-        else:
-            guess = predicted(kinds[(row >> bits) * columns + (column >> bits)], done[i - 1], done[i - width], done[i - width + 1], done[i - width - 1])
-        p = tuple((a + sign * g) & 255 for a, g in zip(given[i], guess))
-        out.append(p)
-        if inverse:
-            done.append(p)
-    return _joined(np.array(out, np.int64).reshape(-1, 4))
+    kinds = np.asarray(modes).astype(np.int64) >> 8 & 15
+    done = given.copy()
+    if inverse:
+        done[0, 0] += 255
+        done[:width] = np.cumsum(done[:width], 0) & 255
+        done[::width] = np.cumsum(done[::width], 0) & 255
+    at = np.arange(width * height).reshape(height, width)[1:, 1:].ravel()
+    row, column = np.divmod(at, width)
+    kind = kinds[(row >> bits) * columns + (column >> bits)]
+
+    def guess(mode: int, i: np.ndarray) -> np.ndarray:
+        return predicted(mode, done[i - 1], done[i - width], done[i - width + 1], done[i - width - 1])
+
+    if not inverse:
+        out = given.copy()
+        out[0, 0] -= 255
+        out[1:width] -= given[: width - 1]
+        out[width::width] -= given[:-width:width]
+        for mode in np.unique(kind).tolist():
+            i = at[kind == mode]
+            out[i] -= guess(mode, i)
+        return _joined(out)
+    if width * height < FEW_PIXELS:
+        _undo_one_by_one(done, width, at.tolist(), kind.tolist())
+        return _joined(done)
+    order = np.lexsort((kind, column + 2 * row))
+    at, kind, wave = at[order], kind[order], (column + 2 * row)[order]
+    cut = np.flatnonzero(np.concatenate([[True], (wave[1:] != wave[:-1]) | (kind[1:] != kind[:-1]), [True]])) if len(at) else np.zeros(1, np.int64)
+    for mode, lo, hi in zip(kind[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+        i = at[lo:hi]
+        done[i] = (done[i] + guess(mode, i)) & 255
+    return _joined(done)
+
+
+def _undo_one_by_one(done: np.ndarray, width: int, at: list[int], kind: list[int]) -> None:
+    """Undoes the predictions of pixels in order, on plain numbers."""
+    planes = done.T.tolist()
+    for i, mode in zip(at, kind):
+        if mode == 11:
+            away = [abs(p[i - width] - p[i - width - 1]) - abs(p[i - 1] - p[i - width - 1]) for p in planes]
+            mode = 1 if sum(away) < 0 else 2
+        for c, p in enumerate(planes):
+            left, top, corner = p[i - 1], p[i - width], p[i - width - 1]
+            if mode == 1:
+                g = left
+            elif mode == 2:
+                g = top
+            elif mode == 3:
+                g = p[i - width + 1]
+            elif mode == 4:
+                g = corner
+            elif mode == 5:
+                g = ((left + p[i - width + 1] >> 1) + top) >> 1
+            elif mode == 6:
+                g = left + corner >> 1
+            elif mode == 7:
+                g = left + top >> 1
+            elif mode == 8:
+                g = corner + top >> 1
+            elif mode == 9:
+                g = top + p[i - width + 1] >> 1
+            elif mode == 10:
+                g = ((left + corner >> 1) + (top + p[i - width + 1] >> 1)) >> 1
+            elif mode == 12:
+                g = min(max(left + top - corner, 0), 255)
+            elif mode == 13:
+                mean = left + top >> 1
+                g = min(max(mean + int((mean - corner) / 2), 0), 255)
+            else:
+                g = 255 if c == 0 else 0
+            p[i] = p[i] + g & 255
+    done[:] = np.array(planes).T
 
 
 def cross_colour(x: np.ndarray, width: int, height: int, bits: int, elements: np.ndarray, inverse: bool) -> np.ndarray:
@@ -308,13 +468,15 @@ def chunk(data: bytes) -> bytes:
     raise ValueError("no lossless image")
 
 
-def decode(data: bytes) -> tuple[int, int, np.ndarray]:
-    """Width, height and ARGB pixels (uint32, row by row) of a lossless WebP file."""
+def decode(data: bytes, most: int = 1 << 28) -> tuple[int, int, np.ndarray]:
+    """Width, height and ARGB pixels (uint32, row by row) of a lossless WebP file of no more than so many pixels."""
     body = chunk(data)
     if body[:1] != b"\x2f":
         raise ValueError("not a lossless image")
     bits = Bits(body[1:])
     width, height = bits.read(14) + 1, bits.read(14) + 1
+    if width * height > most:
+        raise ValueError(f"{width} x {height} pixels are more than {most}")
     bits.read(1)  # whether alpha is used: a hint
     if bits.read(3):
         raise ValueError("an unknown version")
@@ -328,17 +490,17 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
         seen.add(kind)
         if kind in (PREDICTOR, CROSS_COLOUR):
             size = bits.read(3) + 2
-            blocks = np.array(read_pixels(bits, (inner + (1 << size) - 1) >> size, (height + (1 << size) - 1) >> size, False), np.uint32)
+            blocks = read_pixels(bits, (inner + (1 << size) - 1) >> size, (height + (1 << size) - 1) >> size, False)
             f = predictor if kind == PREDICTOR else cross_colour
             undo.append(lambda x, f=f, w=inner, b=size, e=blocks: f(x, w, height, b, e, True))
         elif kind == SUBTRACT_GREEN:
             undo.append(lambda x: subtract_green(x, True))
         else:
             n = bits.read(8) + 1
-            colours = _joined(np.cumsum(_parts(np.array(read_pixels(bits, n, 1, False), np.uint32)), 0))
+            colours = _joined(np.cumsum(_parts(read_pixels(bits, n, 1, False)), 0))
             undo.append(lambda x, w=inner, c=colours: unpack_palette(x, w, height, c))
             inner = (inner + (1 << palette_bits(n)) - 1) >> palette_bits(n)
-    x = np.array(read_pixels(bits, inner, height, True), np.uint32)
+    x = read_pixels(bits, inner, height, True)
     for f in reversed(undo):
         x = f(x)
     return width, height, x
@@ -346,14 +508,18 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
 
 class Writer:
     def __init__(self) -> None:
-        self.value, self.have = 0, 0
+        self.value, self.have, self.out = 0, 0, bytearray()
 
     def put(self, value: int, n: int) -> None:
         self.value |= value << self.have
         self.have += n
+        if self.have >= 512:
+            self.out += (self.value & ((1 << 512) - 1)).to_bytes(64, "little")
+            self.value >>= 512
+            self.have -= 512
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes((self.have + 7) // 8, "little")
+        return bytes(self.out) + self.value.to_bytes((self.have + 7) // 8, "little")
 
 
 def _depths(counts: list[int], most: int) -> list[int]:
@@ -561,31 +727,44 @@ WAYS = (
 )
 
 
-def decode_column(df: DataFrame, key: str, media: str) -> DataFrame:
-    """key, width, height, pixels (array of ARGB as bigint), error for each row's file.
+#: Pixels of a batch of decoded images, and of one image at most (its row then has 256 MB).
+BATCH_PIXELS, MOST_PIXELS = 1 << 20, 1 << 26
+
+
+def decode_column(df: DataFrame, key: str, media: str, most: int = MOST_PIXELS) -> DataFrame:
+    """key, width, height, pixels (array of ARGB, as signed 32-bit numbers), error for each row's file.
 
     A null, damaged or other file has null width, height and pixels, and error says
-    why (null for a null file and for a good one). Repeated rows and null keys come out one by
+    why (null for a null file and for a good one). So has an animation, whose frames aren't one image, and an image
+    of more than most pixels, as a few bytes may declare any size: a setting, as what fits depends on the executors. Batches are given on by their
+    pixels, not by their files. Repeated rows and null keys come out one by
     one; other columns don't matter. An empty table gives no rows.
     """
+    small_batches(df.sparkSession)
+
+    def batch(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        w, h, x, error = zip(*rows)
+        ends = np.cumsum([0, *(0 if p is None else len(p) for p in x)]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.int32), *(p.view(np.int32) for p in x if p is not None)])
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([p is None for p in x]))
+        return pa.RecordBatch.from_arrays([keys, pa.array(w, pa.int32()), pa.array(h, pa.int32()), lists, pa.array(error, pa.string())], [key, "width", "height", "pixels", "error"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                out: list[tuple] = []
-                for data in b.column(1).slice(lo, 256):
-                    try:
-                        out.append((None, None, None, None) if not data.is_valid else (*decode(data.as_py()), None))
-                    except (ValueError, IndexError, struct.error) as e:
-                        out.append((None, None, None, f"{e}" or "damaged"))
-                w, h, x, error = zip(*out)
-                ends = np.cumsum([0, *(0 if p is None else len(p) for p in x)]).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.uint32), *(p for p in x if p is not None)]).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([p is None for p in x]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 256), pa.array(w, pa.int32()), pa.array(h, pa.int32()), lists, pa.array(error, pa.string())], [key, "width", "height", "pixels", "error"])
+            out: list[tuple] = []
+            first = held = 0
+            for i, data in enumerate(b.column(1)):
+                try:
+                    out.append((None, None, None, None) if not data.is_valid else (*decode(data.as_py(), most), None))
+                except (ValueError, IndexError, OverflowError, MemoryError, struct.error) as e:
+                    out.append((None, None, None, f"{e}" or "damaged"))
+                held += 0 if out[-1][2] is None else len(out[-1][2])
+                if held >= BATCH_PIXELS or i + 1 == b.num_rows:
+                    yield batch(b.column(0).slice(first, len(out)), out)
+                    out, first, held = [], i + 1, 0
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, media).mapInArrow(run, f"`{key}` {kind}, width int, height int, pixels array<bigint>, error string")
+    return df.select(key, media).mapInArrow(run, f"`{key}` {kind}, width int, height int, pixels array<int>, error string")
 
 
 def vector_media(vectors: DataFrame, columns: int = 8) -> DataFrame:
@@ -612,4 +791,13 @@ def op5_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_lossless_webp": op5_lossless_webp}
-SQL: dict[str, str] = {}
+#: The bits of each float by arithmetic: sign, exponent and fraction.
+SQL = {
+    "op5_lossless_webp": """
+WITH v AS (SELECT vec_id, embedding, len(embedding) AS n, CAST(ceil(len(embedding) / 8) AS INT) AS height FROM embeddings),
+f AS (SELECT vec_id, list_transform(list_concat(embedding, list_transform(range(0, height * 8 - n), lambda i: 0)), lambda x: {'x': abs(coalesce(x, 0)::DOUBLE), 's': coalesce(x, 0) < 0}) AS f, height FROM v WHERE n > 0),
+e AS (SELECT vec_id, height, list_transform(f, lambda y: {'x': y.x, 's': y.s, 'e': CASE WHEN y.x < pow(2, -126) THEN -127 ELSE floor(log2(y.x)) - CASE WHEN pow(2, floor(log2(y.x))) > y.x THEN 1 ELSE 0 END END}) AS f FROM f)
+SELECT v.vec_id, CASE WHEN f IS NULL THEN NULL ELSE 8 END AS width, e.height, list_transform(f, lambda y: CAST(CASE WHEN y.s THEN -2147483648 ELSE 0 END + (y.e + 127) * 8388608
+         + CASE WHEN y.e = -127 THEN y.x * pow(2, 149) ELSE (y.x / pow(2, y.e) - 1) * 8388608 END AS INT)) AS pixels, NULL::VARCHAR AS error FROM v LEFT JOIN e USING (vec_id)
+"""
+}
