@@ -7,6 +7,17 @@ from helpers import words
 from pyspark.sql import functions as F
 
 from leaselens.llm import mixing, packing, token_counts
+from leaselens.llm.common import word_count
+
+
+
+def by_words():
+    return word_count(F.col("text"))
+
+
+def token_number(text):
+    with open(token_counts.VOCABULARY, "rb") as f:
+        return len(token_counts.encoding(f.read()).encode_ordinary(text or ""))
 
 
 def test_packer_minimises_the_sum_of_squares():
@@ -27,7 +38,7 @@ def test_packer_minimises_the_sum_of_squares():
 
 
 def test_pack_covers_each_token_once(spark, edges, edge_rows):
-    rows = packing.pack(edges, capacity=64, shard_tokens=5000).collect()
+    rows = packing.pack(edges, by_words(), capacity=64, shard_tokens=5000).collect()
     assert sum(r.tokens for r in rows) == sum(len((t or "").encode().split()) for t in (e[1] for e in edge_rows))
     spans = collections.defaultdict(list)
     for r in rows:
@@ -49,17 +60,39 @@ def test_pack_nothing(none):
     assert packing.pack(none).count() == 0
 
 
+def test_rows_without_tokens_or_id_fill_no_shard(spark):
+    """Empty rows and rows without an id are dealt to shards like others."""
+    docs = spark.range(3000).select(F.when(F.col("id") >= 2000, F.col("id")).alias("doc_id"), F.when(F.col("id") < 1000, "one two three").otherwise("").alias("text"))
+    rows = packing.pack(docs, by_words(), shard_rows=300).collect()
+    by = collections.Counter(r.shard for r in rows)
+    assert len(rows) == 3000 and len(by) == 10 and max(by.values()) < 600
+
+
+KOREAN = "임대차계약서보증금" * 1300
+
+
+def test_unspaced_text_counts_in_tokens(docs_of):
+    """More than 100 KB of Korean without a space is one word, and some 39,000 tokens in mixing and packing."""
+    n = token_number(KOREAN)
+    assert len(KOREAN) > 10_000 and n > 10 * packing.WINDOW
+    docs = docs_of([(i, KOREAN if i == 0 else words(i, 30), "ko", "a" if i < 3 else "b") for i in range(40)])
+    rows = packing.pack(docs).collect()
+    own = [r for r in rows if r.doc_id == 0]
+    assert sum(r.tokens for r in own) == n and max(r.tokens for r in own) == packing.WINDOW and len(own) == -(-n // packing.WINDOW)
+    assert next(r.tokens for r in mixing.mix_levels(docs, (1.0,)).collect() if r.doc_id == 0) == n
+
+
 def test_pack_fills_windows():
     sizes = np.random.default_rng(0).integers(1, 300, 5000)
     x = packing.pack_shard(sizes, 2048)
     assert sizes.sum() / ((x["window_id"].max() + 1) * 2048) > 0.98
 
 
-def brute_levels(rows, budgets, weights):
+def brute_levels(rows, budgets, weights, count=token_number):
     """Sorts each source by hash, as the histograms don't."""
     import hashlib
 
-    docs = [(i, s, int(hashlib.md5(("mix-1" + ("" if i is None else str(i))).encode()).hexdigest()[:15], 16), len((t or "").encode().split())) for i, t, s in rows]
+    docs = [(i, s, int(hashlib.md5(("mix-1" + ("" if i is None else str(i))).encode()).hexdigest()[:15], 16), count(t)) for i, t, s in rows]
     total = collections.Counter()
     for _, s, _, n in docs:
         total[s] += n
@@ -112,7 +145,7 @@ def test_mix_edges(edges, none):
 def test_packing_query_counts_tokens(spark, docs_of, tmp_path):
     """A long text without white space is one word, and many windows of tokens."""
     code = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000))
-    rows = [(1, code), (2, words(2, 1500)), (3, None), (4, "")]
+    rows = [(1, code), (2, words(2, 1500)), (3, None), (4, ""), (5, KOREAN)]
     docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
     with open(token_counts.VOCABULARY, "rb") as f:
         encoder = token_counts.encoding(f.read())

@@ -14,7 +14,7 @@ def test_stages_keep_their_contract(spark, tmp_path):
     """Each stage against a brute-force version of it on what its predecessor kept."""
     from test_lines_classifier import brute_lines, junk
     from test_near_and_repeats import brute_pairs, edited
-    from test_packing_mixing import brute_levels
+    from test_packing_mixing import brute_levels, token_number
 
     r = random.Random(7)
     rows, labels = [], []
@@ -53,11 +53,28 @@ def test_stages_keep_their_contract(spark, tmp_path):
     assert {x.doc_id for x in kept[2]} == {i for i, v in root.items() if i == v}
     mixed = brute_levels([(x.doc_id, x.text, x.source) for x in kept[2]], (corpus_pipeline.MIX_BUDGET,), None)
     assert {(x.doc_id, x.source) for x in kept[3]} == set(mixed)
-    assert sum(x.tokens for x in kept[4]) == sum(len((x.text or "").split()) for x in kept[3])
+    assert sum(x.tokens for x in kept[4]) == sum(token_number(x.text) for x in kept[3])
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, whole.select("doc_id", "piece", "tokens").collect())) == sorted(str(x) for x in docs.select("doc_id", "piece", "tokens").collect())
 
 
+def test_unspaced_text_goes_through_the_stages_in_tokens(spark, docs_of):
+    """More than 100 KB of Korean without a space, and a label for its like: kept whole, mixed and packed as its tokens."""
+    from test_lines_classifier import junk
+    from test_packing_mixing import KOREAN, token_number
+
+    text = KOREAN * 4
+    docs = docs_of([(1, text), *((i, junk(i) if i % 5 == 0 else KOREAN[i : i * 9] if i % 5 == 1 else words(i, 60)) for i in range(2, 120))])
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(2, 120)], "doc_id bigint, quality int")
+    kept = corpus_pipeline.quality_classifier.keep_good(docs, labels)
+    assert {r.doc_id for r in kept.collect()} == {1} | {i for i in range(2, 120) if i % 5}
+    for stage in (corpus_pipeline.lines, corpus_pipeline.near_duplicates):
+        kept = stage(spark, kept, "")
+    assert next(r.text for r in kept.collect() if r.doc_id == 1) == text
+    packed = [r.tokens for r in corpus_pipeline.windows(spark, kept.where("doc_id = 1"), "").collect()]
+    assert len(text.encode()) > 100_000 and sum(packed) == token_number(text) and max(packed) == 2048
+
+
 def test_merged_sentences_are_near_duplicates(spark, docs_of):
     """A copy whose sentences were merged ('eran. Nd,' became 'eran nd,'): of less than 0.75 in raw words."""
     from test_near_and_repeats import gram_set

@@ -29,16 +29,27 @@ def test_counts_of_nothing(none):
 
 def test_cuts_are_safe(encoder):
     rng = np.random.default_rng(0)
-    alphabet = list("ab1,.'s  \n\n\t\r") + ["é", "　", "\x1c", "\x85", "don't", "…", "\U0001f600"]
-    for _ in range(150):
+    alphabet = list("ab1,.'sS  \n\n\t\r") + ["é", "　", "\x1c", "\x85", "don't", "…", "\U0001f600", "한", "국", "中", "'re", "'", "\u2003", "٣"]
+    apart = token_counts._apart[id(encoder)]
+    for _ in range(300):
         text = "".join(rng.choice(alphabet, 300))
-        parts = list(token_counts.pieces(text, 20))
-        assert "".join(parts) == text
+        parts = [p for p, _ in token_counts.pieces(text, 20, apart)]
+        assert "".join(parts) == text and len(parts) > 3
         assert sum(len(encoder.encode_ordinary(p)) for p in parts) == len(encoder.encode_ordinary(text))
     texts = [words(i, i) for i in range(60)] + [None, ""]
     assert token_counts.lengths(encoder, texts, 100, 30).tolist() == [len(encoder.encode_ordinary(t or "")) for t in texts]
 
 
+def test_long_texts_are_split_whatever_parts_their_words(encoder):
+    """Lines ended by CRLF, tabs, and no white space at all: no piece is much larger than asked for, and no count changes."""
+    apart = token_counts._apart[id(encoder)]
+    letters = np.random.default_rng(1).choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 60_000)
+    for text in ("word\r\n" * 15_000, "word\tother" * 9000, "임대차계약서보증금" * 4000, "".join(letters), "合同文本测试数据" * 4000):
+        sizes = [n for _, n in token_counts.pieces(text, 4096, apart)]
+        assert len(sizes) >= len(text.encode()) // 4600 and max(sizes) < 4600
+        assert token_counts.lengths(encoder, [text], 1 << 20, 4096).tolist() == [len(encoder.encode_ordinary(text))]
+
+
 def test_another_library_counts_alike(docs_of):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
@@ -74,11 +85,56 @@ def test_webp_of_another_encoder():
     assert (w, h, len(x)) == (1, 1, 1)
 
 
+def test_webp_picture_of_another_encoder():
+    """The alpha plane, kept in green, of the small logo in CPython's own test data, as the format's first encoder wrote it."""
+    data = "UklGRtQAAABXRUJQVlA4TMcAAAAvD8ADECeiqJEk5XrnGF/n3yqZiJj/dHGN4CYw4uGLdzLIwRFcgysw6LB4FY54UTXBCAwCT5KgarBVGRzWtm1GL07Gdjy27Xf7rymuIaL/SdH9j5D3ukRJJBs6JZE08xRtDsfT5RYg9AsUvpDhg7caMp42gn8dKX5Odgj7iJ6zke+Zc0boMoLb+MxIsvdFMH0g/TYXjCEyVi2l1msjvF3jpVkV1ZyBpNlulnWKGDEPiqosUDT6MILfumtQUim1Lc/pVBQKAQAAAA=="
+    w, h, x = webp.decode(base64.b64decode(data))
+    plane = (x >> 8 & 255).reshape(h, w)
+    assert (w, h) == (16, 16) and set((x & 0xFFFF00FF).tolist()) == {0xFF000000}
+    assert plane[0].tolist() == [0, 0, 0, 0, 175, 237, 255, 255, 255, 247, 146, 11, 3, 0, 0, 0]
+    assert plane[8].tolist() == [247, 255, 255, 170, 78, 166, 247, 255, 255, 255, 255, 255, 255, 255, 247, 71]
+    assert plane[15].tolist() == [0, 0, 0, 0, 8, 29, 53, 66, 71, 69, 56, 31, 8, 0, 0, 0]
+
+
 def test_predictions():
-    left, top, right, corner = (10, 20, 30, 40), (50, 60, 70, 80), (7, 9, 200, 255), (0, 100, 35, 90)
-    p = [webp.predicted(m, left, top, right, corner) for m in range(15)]
+    left, top, right, corner = ((10, 20, 30, 40), (50, 60, 70, 80), (7, 9, 200, 255), (0, 100, 35, 90))
+    p = [tuple(webp.predicted(m, *(np.array([v]) for v in (left, top, right, corner)))[0].tolist()) for m in range(15)]
     assert p[0] == p[14] == (255, 0, 0, 0) and p[1:5] == [left, top, right, corner]
-    assert p[7] == (30, 40, 50, 60) and p[11] == left and p[12] == (60, 0, 65, 30) and p[13] == (45, 10, 57, 45)
+    # by hand: averages round down, one after the other
+    assert p[5] == (29, 37, 92, 113) and p[6] == (5, 60, 32, 65) and p[7] == (30, 40, 50, 60)
+    assert p[8] == (25, 80, 52, 85) and p[9] == (28, 34, 135, 167) and p[10] == (16, 47, 83, 116)
+    assert p[11] == left and p[12] == (60, 0, 65, 30) and p[13] == (45, 10, 57, 45)
+
+
+def test_waves_undo_what_single_pixels_do(monkeypatch):
+    r = np.random.default_rng(4)
+    x, modes = r.integers(0, 2**32, 90 * 61, dtype=np.uint32), r.integers(0, 16, 23 * 16).astype(np.uint32) << 8
+    waves = webp.predictor(x, 90, 61, 2, modes, True)
+    assert (webp.predictor(waves, 90, 61, 2, modes, False) == x).all()
+    monkeypatch.setattr(webp, "FEW_PIXELS", 1 << 20)
+    assert (webp.predictor(x, 90, 61, 2, modes, True) == waves).all()
+
+
+def test_stretches_meet(monkeypatch):
+    """Data that is parsed in many short stretches."""
+    monkeypatch.setattr(webp, "STRETCH", 256)
+    x = np.random.default_rng(2).choice(np.array([1, 2, 3, 0xFF00FF00, 77], np.uint32), 400)
+    for way in (*webp.WAYS, webp.Options(), webp.Options(references=True, block=2)):
+        assert (webp.decode(webp.encode(x, 20, 20, way))[2] == x).all(), way
+
+
+def test_large_images_come_alone_and_too_large_ones_not(spark, monkeypatch):
+    """A few bytes that declare 16,384 x 16,384 pixels of one colour are an error, not a gigabyte; batches follow pixels."""
+    w = webp.Writer()
+    w.put(16383, 14), w.put(16383, 14), w.put(1, 1), w.put(0, 3), w.put(0, 1)
+    webp._write_pixels(w, [5], 1, True)
+    body = b"\x2f" + w.bytes()
+    bomb = b"RIFF" + (12 + len(body) + len(body) % 2).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+    image = webp.encode(np.full(64 * 64, 7, np.uint32), 64, 64)
+    rows = spark.createDataFrame([(1, bomb), (2, image), (3, image), (4, image)], "id bigint, image binary").coalesce(1)
+    got = {r.id: r for r in webp.decode_column(rows, "id", "image").collect()}
+    assert "more than" in got[1].error and got[1].pixels is None and all(got[i].pixels == [7] * 4096 for i in (2, 3, 4))
+    assert "more than" in webp.decode_column(rows, "id", "image", 4000).where("id = 2").first().error
 
 
 def test_media_edges(spark):
@@ -94,7 +150,7 @@ def test_media_edges(spark):
             assert r.pixels is None and r.error
         else:
             want = next(v for i, v in rows if i == r.vec_id)
-            assert np.array(r.pixels, np.uint32).view(np.float32)[: len(want)].tolist() == [f or 0.0 for f in want] and r.width * r.height == len(r.pixels)
+            assert np.array(r.pixels, np.int32).view(np.float32)[: len(want)].tolist() == [f or 0.0 for f in want] and r.width * r.height == len(r.pixels)
     assert webp.decode_column(media.limit(0), "vec_id", "image").count() == 0
 
 
@@ -118,7 +174,7 @@ def test_language_of_text_and_page(spark, docs_of, none):
     assert all(by[i].lang == ("en" if i % 3 else "fr") == by[i].text_lang for i in range(2, 60))
     assert by[100].lang == "fr" and by[100].text_lang is None and by[100].p > 0.9 and by[100].declared == "fr"
     assert by[101].lang == "fr" and by[101].suffix == "fr" and by[101].declared is None
-    assert by[103].lang == "en" and abs(by[103].p - 41 / 60) < 0.05 and by[103].host is None
+    assert by[103].lang == "en" and abs(by[103].p - 41 / 60) < 0.06 and by[103].host is None
     assert language_id.identify(none, pages).count() == 0
     unknown = language_id.identify(docs.withColumn("lang", F.lit(None).cast("string")), pages.limit(0)).collect()
     assert len(unknown) == len(got) and all(r.lang is None and r.p is None for r in unknown)
@@ -127,6 +183,7 @@ def test_language_of_text_and_page(spark, docs_of, none):
 def test_language_posterior_matches_brute_force(spark, docs_of):
     rows = [(i, (ENGLISH if i % 4 else FRENCH)[: 3 + i % 9], "en" if i % 4 else "fr") for i in range(80)]
     pages = [(i, f"http://h{i % 3}.s{i % 2}.{'com' if i % 5 else 'fr'}/{i}", f"<html lang={'en' if i % 6 else 'fr'}>") for i in range(0, 80, 2)]
+    pages += [(100 + i, f"http://h{i % 2}.other.org/{i}", "<html lang=fr>") for i in range(0, 80, 6)] + [(300, "http://h0.other.org/0", "<html>")]
     docs = docs_of([(*r, "s") for r in rows])
     names, logs = language_id.fit(docs)
     assert names == ["en", "fr"]
@@ -141,25 +198,49 @@ def test_language_posterior_matches_brute_force(spark, docs_of):
         b = t.lower().encode()
         ll[i] = np.array([sum(float(logs[k, p * 256 + q]) for p, q in zip(b, b[1:])) for k in range(2)]) * (len(b) - 1) ** -0.5
     best = {i: int(v[1] > v[0]) for i, v in ll.items()}
-    ev = {i: (re.search(r"lang=(\w+)", h)[1], u.split("/")[2].split(".")[-1], u.split("/")[2], ".".join(u.split("/")[2].split(".")[1:])) for i, u, h in pages}
-    prior = np.array([sum(b == k for b in best.values()) + 1 for k in range(2)], float)
-    prior /= prior.sum()
-    tally = lambda place, value: np.array([sum(best[i] == k and e[place] == value for i, e in ev.items()) for k in range(2)], float)
+    ev: dict = {}
+    for _, u, h in pages:
+        mine, host = ev.setdefault(int(u.split("/")[-1]), (set(), set(), {})), u.split("/")[2]
+        mine[0].update(re.findall(r"lang=(\w+)", h)), mine[1].add(host.split(".")[-1])
+        mine[2][host] = ".".join(host.split(".")[1:])
+    all_best = np.array([sum(b == k for b in best.values()) for k in range(2)], float)
+    held = lambda e, place, v: v in (e[2].values() if place == 3 else e[place])
+    tally = lambda place, value: np.array([sum(best[i] == k and held(e, place, value) for i, e in ev.items()) for k in range(2)], float)
     smooth = lambda n, parent: (n + 20 * parent) / (n.sum() + 20)
-    given = {p: {v: tally(p, v) for v in {e[p] for e in ev.values()}} for p in (0, 1)}
+    given = {p: {v: tally(p, v) for v in set().union(*(e[p] for e in ev.values()))} for p in (0, 1)}
     for r in language_id.identify(docs, pages_of(spark, pages)).collect():
-        score = ll[r.doc_id].copy()
+        score, own = ll[r.doc_id].copy(), np.eye(2)[best[r.doc_id]]  # a document's own guess is no evidence for it
+        prior = (all_best - own + 1) / (all_best - own + 1).sum()
         if r.doc_id in ev:
-            e = ev[r.doc_id]
-            score += np.log(smooth(tally(2, e[2]), smooth(tally(3, e[3]), prior)))
+            mine = ev[r.doc_id]
+            score += np.mean([np.log(smooth(tally(2, h) - own, smooth(tally(3, s) - own, prior))) for h, s in mine[2].items()], 0)
             for p in (0, 1):
-                score += np.log((given[p][e[p]] + 1) / (sum(given[p].values()) + len(given[p]) + 1))
+                for v in mine[p]:
+                    score += np.log((given[p][v] - own + 1) / (sum(given[p].values()) - own + len(given[p]) + 1))
+            assert (r.declared, r.suffix, r.host) == tuple(",".join(sorted(x)) for x in mine)
         else:
             score += np.log(prior)
         p = np.exp(score - score.max())
         assert r.lang == names[int(score.argmax())] and abs(r.p - (p / p.sum()).max()) < 2e-6
 
 
+def test_page_evidence_has_no_cuts(spark):
+    """A tag of 1,000 characters before lang, and ids up to the greatest bigint; greater ones are no document's."""
+    big = 9_223_372_036_854_775_807
+    pages = pages_of(spark, [(1, f"http://a.org/{big}", f'<html class="{"x" * 1000}" lang="de">'), (2, f"http://b.org/{big}", "<html data-lang=fr>"), (3, "http://c.org/99999999999999999999", "<html lang=en>")])
+    got = {tuple(r) for r in language_id.page_evidence(pages).collect()}
+    assert got == {(big, "de", "org", "a.org", "a.org"), (big, None, "org", "b.org", "b.org")}
+    assert {tuple(r) for r in quality_rules.page_domains(pages).collect()} == {(big, "a.org"), (big, "b.org")}
+
+
+def test_many_languages_are_counted_in_parts(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(language_id, "HELD", 2)
+    rows = [(i, words(i, 9), f"l{i % 7}", "s") for i in range(70)]
+    names, logs = language_id.fit(docs_of(rows))
+    monkeypatch.setattr(language_id, "HELD", 64)
+    assert names == [f"l{i}" for i in range(7)] and np.array_equal(logs, language_id.fit(docs_of(rows))[1])
+
+
 def test_held_out_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = language_id.fit(docs.where("doc_id % 2 = 0"))
@@ -171,13 +252,13 @@ def test_held_out_language_accuracy(spark):
 def test_host_verdicts_match_brute_force(spark, docs_of):
     bad = words(1, 40).upper() + "!" * 30
     rows = [(i, bad if i % 5 == 0 and i % 2 or i < 6 else words(i, 30), "en", f"s{i % 3}") for i in range(90)]
-    pages = [(i, f"https://www.h{i % 5}.org:80/a/{i}#z", "") for i in range(60)] + [(99, "https://zzz.org/3", ""), (98, "https://a.org/99999", "")]
+    pages = [(i, f"https://www.h{i % 5}.org:80/a/{i}#z", "") for i in range(60)] + [(99, "https://zzz.org/300", ""), (98, "https://a.org/99999", "")]
     got = {r.doc_id: r for r in quality_rules.judge(docs_of(rows), pages_of(spark, pages)).collect()}
     host = {i: f"h{i % 5}.org" if i < 60 else f"source:s{i % 3}" for i in range(90)}
     fails = {i: {"exclaims", "shouting"} if t == bad else set() for i, t, *_ in rows}
     best: dict = {}
-    for rule in quality_rules.RULES:
-        n = {h: [rule in fails[i] for i in host if host[i] == h] for h in set(host.values())}
+    for rule in (*quality_rules.RULES, None):
+        n = {h: [rule in fails[i] if rule else bool(fails[i]) for i in host if host[i] == h] for h in set(host.values())}
         rate = np.array([np.mean(v) for v in n.values()])
         m, inverse = rate.mean(), np.mean([1 / len(v) for v in n.values()])
         excess = rate.var() - m * (1 - m) * inverse
@@ -197,9 +278,10 @@ def test_rules_and_edges(spark, docs_of, edges, none):
     by = {r.doc_id: r for r in rows}
     assert by[3].failures == by[4].failures == by[5].failures == 1 and by[8].failures == 0
     assert by[4].domain == "a.b" and by[12].domain == "source:" and by[1].domain == "source:s"
-    junk = [(1, "ab### " * 9), (2, "a | " * 9), (3, "no! " * 9), (4, "SHOUT AT ALL OF THEM NOW"), (5, "go stop " * 40), (6, "one two")]
-    got = {r.doc_id: r.failures for r in quality_rules.judge(docs_of(junk), pages).collect()}
-    assert got == {i: 1 for i in range(1, 7)}
+    junk = [(1, "ab### " * 9), (2, "a | " * 9), (3, "no! " * 9), (4, "SHOUT AT ALL OF THEM NOW"), (5, "go stop " * 40), (6, "one two"), (7, "a 12 b 345 c 99 d")]
+    fine = [(8, "임대차계약서의보증금은" * 20 + "!"), (9, words(1, 60) + "!"), (10, "合同文本。" * 40)]  # scripts without spaces aren't short of words
+    got = {r.doc_id: r.failures for r in quality_rules.judge(docs_of(junk + fine), pages).collect()}
+    assert got == {i: int(i < 8) for i in range(1, 11)}
 
 
 def test_every_host_of_a_document_counts(spark, docs_of):
@@ -207,12 +289,17 @@ def test_every_host_of_a_document_counts(spark, docs_of):
     junk = words(1, 40).upper() + "!" * 30
     rows = [(i, junk if i < 40 else words(i, 30)) for i in range(100)] + [(99, words(99, 30))]
     pages = [(i, f"https://{h}.org/{i}", "") for i in range(100) for h in (["a", "www.z", "z"] if i < 40 else ["b", "z"] if i == 99 else [f"c{i % 9}"])]
-    for every in (True, False):
-        got = quality_rules.judge(docs_of(rows), pages_of(spark, pages), every_host=every).collect()
-        assert len(got) == 101
-        both = [r for r in got if r.doc_id == 99]
-        assert len(both) == 2 and all(r.failures == 0 for r in both)
-        if every:
-            assert all(r.domain == "z.org" and r.host_rejected and not r.keep for r in both)
-        else:
-            assert all(r.domain == "b.org" and r.keep for r in both)
+    got = quality_rules.judge(docs_of(rows), pages_of(spark, pages)).collect()
+    assert len(got) == 101
+    both = [r for r in got if r.doc_id == 99]
+    assert len(both) == 2 and all(r.failures == 0 and r.domain == "z.org" and r.host_rejected and not r.keep for r in both)
+
+
+def test_many_hosts_give_the_same_verdicts(spark, docs_of, monkeypatch):
+    """Beyond what is broadcast, hot domains are, and the rest are joined by a shuffle."""
+    rows = [(i, words(i, 30) if i % 3 else words(i, 9).upper()) for i in range(200)]
+    pages = pages_of(spark, [(i, f"https://h{i % 40}.org/{i}", "") for i in range(150)])
+    want = sorted(map(str, quality_rules.judge(docs_of(rows), pages).collect()))
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(quality_rules, "HOT_SHARE", 0.1)
+    assert sorted(map(str, quality_rules.judge(docs_of(rows), pages).collect())) == want
