@@ -1,4 +1,4 @@
-"""The corpus pipeline: five filters from documents to packed training windows.
+"""The corpus pipeline: five filters from documents to packed training windows; tokens are byte pairs, as op1 counts them.
 
 Each stage reads what its predecessor kept, written as Parquet. STAGES lists
 (name, function); a function takes (spark, docs, sf_dir), returns a DataFrame,
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from leaselens.llm import line_dedup, mixing, ngram_join, packing, quality_classifier
-from leaselens.llm.common import shared_folder, small_batches, table
+from leaselens.llm.common import shared_folder, table
 
 #: The part of all tokens that the mixture may hold; large sources are held back first.
 MIX_BUDGET = 0.9
@@ -25,13 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that came before are taken out of the texts."""
-    small_batches(spark)
     return line_dedup.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays; case and the punctuation around words make no difference."""
-    small_batches(spark)
     return ngram_join.keep_one(docs, fold=True)
 
 
@@ -53,15 +51,18 @@ STAGES = [
     ("packing", windows),
 ]
 
-#: Learning weights and packing online can't be told in SQL.
+#: Learning weights can't be told in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again."""
+    """The stages applied to documents, each written to the shared folder and read again; what a stage has read is removed after it."""
     at = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
         docs = spark.read.parquet(f"{at}/{i}")
+        if i:
+            done = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{i - 1}")
+            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
     return docs
