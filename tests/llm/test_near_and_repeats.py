@@ -90,6 +90,28 @@ def test_large_group_of_near_copies(docs_of):
     assert {tuple(g) for g in ngram_join.similar_pairs(docs_of(rows)).collect()} == brute_pairs(rows)
 
 
+def test_chunks_of_a_large_group_of_copies(docs_of, monkeypatch):
+    """Groups of more copies than a chunk holds, near ones of each other."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 7)
+    a, b = words(5, 40), words(5, 40) + " tail"
+    rows = [(i, a if i % 3 else b) for i in range(60)] + [(i, words(i, 20)) for i in range(60, 70)]
+    got = [tuple(g) for g in ngram_join.similar_pairs(docs_of(rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows)
+    assert {r.doc_id for r in ngram_join.keep_one(docs_of(rows)).collect()} == {0, *range(60, 70)}
+
+
+def test_colliding_signatures_are_told_apart(docs_of, monkeypatch):
+    """With signatures of two bits nearly all sets collide; the second hash keeps them apart."""
+    whole = ngram_join._signature
+    monkeypatch.setattr(ngram_join, "_signature", lambda v, b, seed: whole(v, b, seed) & np.uint64(3) if seed == 0x5851F42D4C957F2D else whole(v, b, seed))
+    rows = copies(11, 6, 10)
+    w = common.words(common.strings(pa.array([t for _, t in rows])))
+    values, bounds, sig = ngram_join.sets_of(w, 2)
+    assert len(set(sig.tolist())) <= 4
+    apart = ngram_join._apart(sig, values, bounds, np.unique(sig))
+    assert len(set(apart.tolist())) == len({frozenset(gram_set(t, 2)) for _, t in rows})
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\té　", max_size=40), max_size=6), st.integers(1, 4))
 def test_words_and_ngrams(texts, n):
