@@ -30,6 +30,16 @@ def quad_percent(vertices: Column) -> Column:
     return F.when(F.size(vertices) >= 4, full).otherwise(F.struct(*(F.lit(0.0).alias(c) for c in "xywh")))
 
 
+def pairs_percent(pairs: Column) -> Column:
+    """quad_percent() of points given as arrays (x, y)."""
+    return quad_percent(F.transform(pairs, lambda p: F.struct(F.get(p, 0).cast("double").alias("x"), F.get(p, 1).cast("double").alias("y"))))
+
+
+def unit_box_percent(box: Column) -> Column:
+    """A box (x, y, width, height) given as parts of 1, in percent; missing parts are 0."""
+    return F.struct(*((F.coalesce(box[c], F.lit(0.0)) * 100).alias(n) for c, n in (("x", "x"), ("y", "y"), ("width", "w"), ("height", "h"))))
+
+
 def box_percent(box: Column, width: Column, height: Column) -> Column:
     """A pixel box in percent of its page; null for a page without size."""
     return F.struct(*((F.try_divide(F.coalesce(box[c], F.lit(0)), side) * 100).alias(c) for c, side in zip("xywh", (width, height, width, height))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,21 +77,31 @@ def extract_fields(regions: DataFrame) -> DataFrame:
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body has it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def parse_lease(raw: Column) -> Column:
     """The lease in a model's JSON answer, code fence and all; amounts as numbers, the empty lease if it isn't one."""
-    s = F.from_json(tx.unfenced(raw), LEASE, {"mode": "PERMISSIVE"})
-    terms = s["terms"]
     amounts = ("deposit", "monthly_rent", "down_payment", "middle_payment", "balance")
-    # an amount that is no number makes the whole answer void, as a failed validation does
-    bad = F.coalesce(F.exists(F.array(*(terms[a].isNotNull() & tx.dto_money(terms[a]).isNull() for a in amounts)), lambda b: b), F.lit(False))
-    s = F.when(~bad, s)
-    person = lambda who: F.struct(*(F.coalesce(s[who][k], F.lit("")).alias(k) for k in ("name", "resident_id", "address", "phone"))).alias(who)
-    return F.struct(
-        person("lessor"), person("lessee"),
-        F.struct(*(F.coalesce(s["property"][k], F.lit("")).alias(k) for k in ("address", "area", "purpose"))).alias("property"),
-        F.struct(*(tx.dto_money(s["terms"][a]).alias(a) for a in amounts), *(F.coalesce(s["terms"][d], F.lit("")).alias(d) for d in ("contract_start_date", "contract_end_date", "contract_date"))).alias("terms"),
-        F.coalesce(s["special_terms"], F.array().cast("array<string>")).alias("special_terms"),
-    )
+
+    def sound(s: Column) -> Column:
+        # an amount that is no number makes the whole answer void, as a failed validation does
+        terms = s["terms"]
+        bad = F.coalesce(F.exists(F.array(*(terms[a] for a in amounts)), lambda v: v.isNotNull() & tx.dto_money(v).isNull()), F.lit(False))
+        return F.when(~bad, s)
+
+    def lease(s: Column) -> Column:
+        person = lambda who: F.struct(*(F.coalesce(s[who][k], F.lit("")).alias(k) for k in ("name", "resident_id", "address", "phone"))).alias(who)
+        return F.struct(
+            person("lessor"), person("lessee"),
+            F.struct(*(F.coalesce(s["property"][k], F.lit("")).alias(k) for k in ("address", "area", "purpose"))).alias("property"),
+            F.struct(*(tx.dto_money(s["terms"][a]).alias(a) for a in amounts), *(F.coalesce(s["terms"][d], F.lit("")).alias(d) for d in ("contract_start_date", "contract_end_date", "contract_date"))).alias("terms"),
+            F.coalesce(s["special_terms"], F.array().cast("array<string>")).alias("special_terms"),
+        )
+
+    return _let(F.from_json(tx.unfenced(raw), LEASE, {"mode": "PERMISSIVE"}), lambda s: _let(sound(s), lease))
 
 
 REQUIRED = "lessor.name lessee.name property.address terms.deposit".split()
@@ -100,19 +112,23 @@ def validate_lease(lease: Column) -> Column:
 
     Dates are compared as text. Instalments must sum to the deposit if both are given.
     """
-    terms = lease["terms"]
-    n = lambda k: F.coalesce(terms[k], F.lit(0))
-    total = n("down_payment") + n("middle_payment") + n("balance")
-    start, end = (F.coalesce(terms[k], F.lit("")) for k in ("contract_start_date", "contract_end_date"))
-    errors = F.array_compact(F.array(F.when((start != "") & (end != "") & (start > end), F.lit("contract_date"))))
-
-    def missing(path: str) -> Column:
-        a, b = path.split(".")
-        v = lease[a][b]
-        return v.isNull() | (v == (0 if b == "deposit" else ""))
-
-    warnings = F.array_compact(F.array(F.when((n("deposit") > 0) & (total > 0) & (total != n("deposit")), F.lit("deposit")), *(F.when(missing(p), F.lit(p)) for p in REQUIRED)))
-    return F.when(lease.isNotNull(), F.struct((F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings")))
+
+    def verdict(lease: Column) -> Column:
+        terms = lease["terms"]
+        n = lambda k: F.coalesce(terms[k], F.lit(0))
+        total = n("down_payment") + n("middle_payment") + n("balance")
+        start, end = (F.coalesce(terms[k], F.lit("")) for k in ("contract_start_date", "contract_end_date"))
+        errors = F.array_compact(F.array(F.when((start != "") & (end != "") & (start > end), F.lit("contract_date"))))
+
+        def missing(path: str) -> Column:
+            a, b = path.split(".")
+            v = lease[a][b]
+            return v.isNull() | (v == (0 if b == "deposit" else ""))
+
+        warnings = F.array_compact(F.array(F.when((n("deposit") > 0) & (total > 0) & (total != n("deposit")), F.lit("deposit")), *(F.when(missing(p), F.lit(p)) for p in REQUIRED)))
+        return F.when(lease.isNotNull(), F.struct((F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings")))
+
+    return _let(lease, verdict)
 
 
 def missing_paths(leases: DataFrame) -> DataFrame:

@@ -46,8 +46,18 @@ def lookup(jobs: DataFrame, cache: DataFrame, backend: DataFrame) -> DataFrame:
 
 
 def queue_order(jobs: DataFrame) -> DataFrame:
-    """Jobs with place: higher priorities first, then arrival."""
-    return jobs.withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "arrived", "job_id")))
+    """Jobs with place: higher priorities first, then arrival, then job_id.
+
+    Ranked within a priority and day of arrival, and moved by the numbers of jobs of those before, so that
+    no task holds more than a day's jobs of one priority; only a row for each of these is ranked alone.
+    """
+    x = jobs.withColumn("_day", F.to_date("arrived"))
+    own = Window.partitionBy("priority", "_day").orderBy("arrived", "job_id")
+    days = x.groupBy("priority", "_day").agg(F.count("*").alias("_n"))
+    before = Window.orderBy(F.desc("priority"), F.col("_day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("priority").alias("_p"), F.col("_day").alias("_d"), "_before")
+    x = x.withColumn("_place", F.row_number().over(own)).join(days, F.col("priority").eqNullSafe(F.col("_p")) & F.col("_day").eqNullSafe(F.col("_d")))
+    return x.withColumn("place", F.col("_place") + F.col("_before")).drop("_day", "_place", "_before", "_p", "_d")
 
 
 def upserted(table: DataFrame, updates: DataFrame, key: str = "job_id") -> DataFrame:

@@ -131,14 +131,23 @@ def vote(regions: DataFrame, strategy: str = "confidence_weighted", same: float
     return x.drop("_rank", "score", "text_first")
 
 
-def overlapping_pairs(boxes: DataFrame, least: float = 0.5, cell: int = 256) -> DataFrame:
-    """doc_id, a, b, iou: pairs of boxes of a page that overlap by more than least; joined by the grid cells that they touch."""
+def overlapping_pairs(boxes: DataFrame, least: float = 0.5, cell: int = 64) -> DataFrame:
+    """doc_id, a, b, iou: pairs of boxes of a page that overlap by more than least; joined by the grid cells that they touch.
+
+    A pair is found once: in the cell of its intersection's upper left corner. Boxes of such an overlap are alike in size:
+    the larger area is less than 1 / least times the smaller. cell should be about the boxes' size.
+    """
     edge = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size)) / cell))
-    x = boxes.select("doc_id", "pos", F.struct(*BOX).alias("box"), *BOX).withColumn("cx", F.explode(edge("x", "w"))).withColumn("cy", F.explode(edge("y", "h")))
-    x = x.select("doc_id", "cx", "cy", "pos", "box")
-    y = x.select("doc_id", "cx", "cy", F.col("pos").alias("b"), F.col("box").alias("other"))
-    pairs = x.join(y, ["doc_id", "cx", "cy"]).where("pos < b").withColumn("iou", iou(F.col("box"), F.col("other")))
-    return pairs.where(F.col("iou") > least).select("doc_id", F.col("pos").alias("a"), "b", "iou").distinct()
+    x = boxes.select("doc_id", "pos", *BOX, (F.col("w") * F.col("h")).alias("area")).withColumn("cx", F.explode(edge("x", "w"))).withColumn("cy", F.explode(edge("y", "h")))
+    y = x.select(*(F.col(c).alias(f"{c}_b") for c in x.columns))
+    left, top = F.greatest("x", "x_b"), F.greatest("y", "y_b")
+    wide, high = F.least(F.col("x") + F.col("w"), F.col("x_b") + F.col("w_b")) - left, F.least(F.col("y") + F.col("h"), F.col("y_b") + F.col("h_b")) - top
+    both = (wide * high).cast("double")
+    on = (F.col("doc_id") == F.col("doc_id_b")) & (F.col("cx") == F.col("cx_b")) & (F.col("cy") == F.col("cy_b")) & (F.col("pos") < F.col("pos_b"))
+    # the first conditions spare most pairs the rest
+    near = (wide > 0) & (high > 0) & (F.least("area", "area_b") > least * F.greatest("area", "area_b")) & (both * (1 + least) > least * (F.col("area") + F.col("area_b")))
+    once = (F.floor(left / cell) == F.col("cx")) & (F.floor(top / cell) == F.col("cy"))
+    return x.join(y, on & near & once).select("doc_id", F.col("pos").alias("a"), F.col("pos_b").alias("b"), (both / (F.col("area") + F.col("area_b") - both)).alias("iou"))
 
 
 def engine_report(regions: DataFrame, truth: DataFrame | None = None) -> DataFrame:

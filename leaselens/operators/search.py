@@ -5,13 +5,18 @@ Functions named in EXTENSIONS implement what the published description only anno
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import dot
+from ..sources import providers
 
-EXTENSIONS = ("bm25", "fuse_ranks", "article_boost", "domain_penalty", "dedup_prefix", "long_documents", "citations", "ranking_measures", "expand_queries", "search_collections")
-#: Queries are broadcast up to that many rows; more are shuffled against the vectors.
+EXTENSIONS = ("bm25", "fuse_ranks", "article_boost", "domain_penalty", "dedup_prefix", "long_documents", "citations", "ranking_measures", "expand_queries", "search_collections", "annotated", "answer_measures", "reranked")
+#: Queries are taken in blocks of about that many, each of which the driver broadcasts as one matrix.
 QUERY_ROWS = 10_000
 
 
@@ -28,19 +33,75 @@ def with_metadata(vectors: DataFrame, filters: dict[str, str]) -> DataFrame:
     return vectors
 
 
+def _best_of_batches(queries: np.ndarray, k: int, threshold: float | None, group: bool) -> Callable:
+    """Of rows (embedding, id, [group], extra...), the k best of each query (and group) in each batch, by one matrix product."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.asarray(b.column(0).value_lengths().fill_null(-1))
+            rows = np.flatnonzero(sizes == queries.shape[1])
+            if not len(rows):
+                continue
+            flat = b.column(0).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, queries.shape[1])
+            length = np.sqrt((flat * flat).sum(1))
+            fine = length > 0
+            rows, unit = rows[fine], flat[fine] / length[fine, None]
+            scores = np.round(unit @ queries.T, 9)
+            ids = np.asarray(b.column(1).take(pa.array(rows)).to_pylist(), object)
+            kinds = np.unique(np.asarray(b.column(2).take(pa.array(rows)).to_pylist(), object).astype(str), return_inverse=True)[1] if group else np.zeros(len(rows), int)
+            picks, of = [], []
+            for kind in range(kinds.max(initial=-1) + 1):
+                mine = np.flatnonzero(kinds == kind)
+                part = scores[mine]
+                least = np.partition(part, len(mine) - k, axis=0)[len(mine) - k] if len(mine) > k else np.full(len(queries), -np.inf)
+                if threshold is not None:
+                    least = np.maximum(least, threshold)
+                for q in range(len(queries)):
+                    near = mine[part[:, q] >= least[q]]
+                    near = near[sorted(range(len(near)), key=lambda i: (-scores[near[i], q], ids[near[i]]))[:k]]
+                    picks.append(near), of.append(np.full(len(near), q))
+            at, q = (np.concatenate(x) if x else np.zeros(0, int) for x in (picks, of))
+            take = pa.array(rows[at])
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(scores[at, q]), *(b.column(i).take(take) for i in range(1, b.num_columns))], ["q", "score", *b.schema.names[1:]])
+
+    return run
+
+
+def _scored(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None, columns: list[str], group: bool) -> DataFrame:
+    """query_id, score and columns: candidates that hold the k best of each query (and group)."""
+    v = vectors.select("embedding", *columns)
+    kind = ", ".join(["q int", "score double", *(f"`{c}` {v.schema[c].dataType.simpleString()}" for c in columns)])
+    blocks, parts, at = -(-queries.count() // QUERY_ROWS), [], F.xxhash64("query_id")
+    id_type = queries.schema["query_id"].dataType
+    for block in range(blocks):
+        rows = [r for r in queries.where(F.pmod(at, F.lit(blocks)) == block).select("query_id", "embedding").collect() if r["embedding"]]
+        by: dict[int, list] = {}
+        for r in rows:
+            x = np.array([np.nan if e is None else e for e in r["embedding"]], np.float64)
+            if (size := np.sqrt((x * x).sum())) > 0:
+                by.setdefault(len(x), []).append((r["query_id"], x / size))
+        for own in by.values():
+            names = vectors.sparkSession.createDataFrame([(i, q) for i, (q, _) in enumerate(own)], f"q int, query_id {id_type.simpleString()}")
+            found = v.mapInArrow(_best_of_batches(np.stack([u for _, u in own]), k, threshold, group), kind)
+            parts.append(found.join(F.broadcast(names), "q").select("query_id", "score", *columns))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], f"query_id {id_type.simpleString()}, " + kind.split(", ", 1)[1])
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """query_id, id, score, rank and extra columns: the k vectors nearest each query by cosine, smaller ids first on ties.
 
     vectors(id, embedding, ...), queries(query_id, embedding). The score has 9 places and is computed before it is compared; threshold is inclusive.
+    One pass over the vectors for each block of queries: a batch gives its k best by a matrix product, and only those are
+    shuffled. Null, zero and other-sized vectors are near nothing.
     """
-    v = normalised(vectors).select("id", F.col("unit").alias("vu"), *extra).where("vu is not null")
-    q = normalised(queries).select("query_id", F.col("unit").alias("qu")).where("qu is not null")
-    q = F.broadcast(q) if queries.count() <= QUERY_ROWS else q
-    scored = v.crossJoin(q).select("query_id", "id", F.round(dot(F.col("vu"), F.col("qu")), 9).alias("score"), *extra)
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
+    scored = _scored(vectors, queries, k, threshold, ["id", *extra], False)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "score", *extra, "rank")
 
 
 def search_one(vectors: DataFrame, query: list[float], k: int, threshold: float | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -55,10 +116,9 @@ def search_one(vectors: DataFrame, query: list[float], k: int, threshold: float
 
 def search_collections(vectors: DataFrame, queries: DataFrame, k: int, collection: str = "collection") -> DataFrame:
     """The k best of each collection for each query."""
-    v, q = normalised(vectors), normalised(queries).select("query_id", F.col("unit").alias("qu"))
-    scored = v.crossJoin(F.broadcast(q) if queries.count() <= QUERY_ROWS else q).select("query_id", collection, "id", F.round(dot(F.col("unit"), F.col("qu")), 9).alias("score"))
+    scored = _scored(vectors, queries, k, None, ["id", collection], True)
     best = Window.partitionBy("query_id", collection).orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", collection, "id", "score", "rank")
 
 
 def context(parts: DataFrame, group: str, order: str, text: str = "text", most: int = 2000, least: int = 100, header: Column | None = None) -> DataFrame:
@@ -83,19 +143,14 @@ def context_text(parts: DataFrame, group: str) -> DataFrame:
 
 def cached(entries: DataFrame, most: int = 100) -> DataFrame:
     """The entries that a first-in-first-out cache of that size still has; hits don't matter."""
-    return entries.withColumn("_age", F.row_number().over(Window.orderBy(F.desc("inserted")))).where(F.col("_age") <= most).drop("_age")
+    return entries.orderBy(F.desc("inserted")).limit(most)
 
 
 def collection_stats(documents: DataFrame) -> DataFrame:
     return documents.groupBy("document_type").agg(F.count("*").alias("documents"))
 
 
-def bm25(docs: DataFrame, query: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """doc_id, score: the k best documents for query words, lower-cased words between blanks."""
-    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "")
-    x = docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n"), F.filter("w", lambda v: v.isin(query)).alias("hit"))
-    total = x.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    tf = x.where(F.size("hit") > 0).select("doc_id", "n", F.explode("hit").alias("term")).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+def _bm25(tf: DataFrame, total: DataFrame, k: int, k1: float, b: float) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     x = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))  # at most a row a query word, and one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -103,6 +158,37 @@ def bm25(docs: DataFrame, query: list[str], k: int, k1: float = 1.2, b: float =
     return x.groupBy("doc_id").agg(F.round(F.sum(one), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+_SPACED = r"[^ \t\n\r]+"
+
+
+def bm25(docs: DataFrame, query: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """doc_id, score: the k best documents for query words, lower-cased words between blanks, by one pass over all texts; only texts that hold a query word are parted into words."""
+    low = F.lower("text")
+    total = docs.agg(F.count("*").alias("docs"), F.avg(F.coalesce(F.regexp_count("text", F.lit(_SPACED)), F.lit(0))).alias("mean"))
+    some = F.lit(False)
+    for word in query:
+        some = some | F.contains(low, F.lit(word))
+    x = docs.where(some).select("doc_id", F.regexp_extract_all(low, F.lit(_SPACED), F.lit(0)).alias("w"))
+    x = x.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("term")).where(F.col("term").isin(query))
+    return _bm25(x.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf")), total, k, k1, b)
+
+
+def write_postings(docs: DataFrame, path: str, buckets: int = 64) -> None:
+    """Postings (term, doc_id, n, tf) in folders by a hash of the term, and the corpus totals: made once, read by bm25_of_postings()."""
+    words = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(_SPACED), F.lit(0)).alias("w"))
+    docs.agg(F.count("*").alias("docs"), F.avg(F.coalesce(F.regexp_count("text", F.lit(_SPACED)), F.lit(0))).alias("mean")).write.mode("overwrite").parquet(f"{path}/total")
+    x = words.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("term")).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    x = x.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    x.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def bm25_of_postings(spark: SparkSession, path: str, query: list[str], k: int, buckets: int = 64, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """bm25() from written postings: of their folders and row groups, only those that may hold a query word are read."""
+    mine = spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(w)), F.lit(buckets)).cast("int").alias(f"b{i}") for i, w in enumerate(query))).first()
+    tf = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(sorted(set(mine)))).where(F.col("term").isin(query)).drop("bucket")
+    return _bm25(tf, spark.read.parquet(f"{path}/total"), k, k1, b)
+
+
 def fuse_ranks(*ranked: DataFrame, constant: int = 60) -> DataFrame:
     """query_id, id, score: reciprocal rank fusion of rankings(query_id, id, rank)."""
     out = ranked[0].select("query_id", "id", "rank")
@@ -121,9 +207,10 @@ def domain_penalty(score: Column, domain: Column, wanted: Column, penalty: float
 
 
 def dedup_prefix(docs: DataFrame, order: Column, n: int = 100) -> DataFrame:
-    """The first document, by order, of each beginning of n characters."""
+    """The first document, by order, of each beginning of n characters; documents without text are all kept."""
     one = Window.partitionBy(F.left(F.col("text"), F.lit(n))).orderBy(order)
-    return docs.withColumn("_first", F.row_number().over(one)).where("_first = 1").drop("_first")
+    own = docs.where("text is not null").withColumn("_first", F.row_number().over(one)).where("_first = 1").drop("_first")
+    return own.unionByName(docs.where("text is null"))
 
 
 def long_documents(docs: DataFrame, least: int = 400) -> DataFrame:
@@ -136,13 +223,59 @@ def expand_queries(queries: DataFrame, variants: Column) -> DataFrame:
     return queries.select("query_id", F.posexplode(F.concat(F.array("query"), F.coalesce(variants, F.array().cast("array<string>")))).alias("variant_no", "query"))
 
 
+_ARTICLE = r"제\p{Nd}+조"
+UNVERIFIED = "(미검증)"
+#: What an answer that declines has.
+REFUSAL = "수 없습니다|수 없다|모릅니다|확인되지 않"
+
+
+def _articles(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(_ARTICLE), F.lit(0)))
+
+
 def citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """answer_id, citation, verified: the articles (제N조) that answers name, and whether the sources have them."""
-    named = answers.select("answer_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"제\p{Nd}+조"), F.lit(0)))).alias("citation"))
-    have = sources.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"제\p{Nd}+조"), F.lit(0)))).alias("citation")).distinct().withColumn("there", F.lit(True))
+    named = answers.select("answer_id", F.explode(_articles(F.col("text"))).alias("citation"))
+    have = sources.select(F.explode(_articles(F.col("text"))).alias("citation")).distinct().withColumn("there", F.lit(True))
     return named.join(have, "citation", "left").select("answer_id", "citation", F.coalesce("there", F.lit(False)).alias("verified"))
 
 
+def annotated(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """answers with a mark behind each article that no source has."""
+    wrong = citations(answers, sources).where("not verified").groupBy("answer_id").agg(F.collect_list("citation").alias("_wrong"))
+    marked = F.aggregate("_wrong", F.col("text"), lambda t, c: F.replace(t, c, F.concat(c, F.lit(UNVERIFIED))))
+    return answers.join(wrong, "answer_id", "left").withColumn("text", F.coalesce(marked, F.col("text"))).drop("_wrong")
+
+
+def answer_measures(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """answers, citation_rate (answers that cite), verified_rate (citations that a source has), refusal_rate."""
+    by = citations(answers, sources).agg(F.countDistinct("answer_id").alias("citing"), F.round(F.avg(F.col("verified").cast("double")), 6).alias("verified_rate"))
+    x = answers.agg(F.count("*").alias("answers"), F.round(F.avg(F.coalesce(F.regexp_like("text", F.lit(REFUSAL)), F.lit(False)).cast("double")), 6).alias("refusal_rate")).crossJoin(F.broadcast(by))
+    return x.select("answers", F.round(F.try_divide(F.col("citing"), F.col("answers")), 6).alias("citation_rate"), "verified_rate", "refusal_rate")
+
+
+def word_overlap() -> Callable[[], providers.Call]:
+    """A stand-in for a cross-encoder: how many words of a question, given first on a line of its own, its text has."""
+
+    def make() -> providers.Call:
+        def score(v: object) -> str:
+            query, _, text = str(v).partition("\n")
+            return str(len(set(query.split()) & set(text.split())))
+
+        return score
+
+    return make
+
+
+def reranked(candidates: DataFrame, encoder: Callable[[], providers.Call], k: int) -> DataFrame:
+    """query_id, id, score, rank: candidates(query_id, id, query, text, domain) by a cross-encoder that sees question and text with the domain before each; a failed call scores 0."""
+    tag = F.concat(F.lit("["), "domain", F.lit("] "))
+    pair = candidates.select(F.to_json(F.struct("query_id", "id")).alias("key"), F.concat(tag, "query", F.lit("\n"), tag, "text").alias("pair"))
+    out = providers.call(pair, "key", "pair", encoder).select(F.from_json("key", candidates.select("query_id", "id").schema).alias("k"), F.coalesce(F.col("output").try_cast("double"), F.lit(0.0)).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return out.select("k.*", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def ranking_measures(ranked: DataFrame, relevant: DataFrame, k: int = 3) -> DataFrame:
     """hit_at_k, mrr over the queries of ranked(query_id, id, rank) with relevant(query_id, id)."""
     first = ranked.join(relevant, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first"))

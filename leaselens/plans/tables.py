@@ -11,7 +11,14 @@ from ..sources import files
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one, of fewer splits than cores, is dealt to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in WIDE and df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+#: Tables whose rows are dear to work on.
+WIDE = ("documents", "pages", "embeddings", "conversations")
 
 
 def _holds(rule: rules.Rule) -> str:
@@ -143,7 +150,7 @@ def payment_sum_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queue_order(spark: SparkSession, d: str) -> DataFrame:
-    x = _read(spark, d, "orders").where("o_orderkey <= 2000")
+    x = _read(spark, d, "orders")
     x = x.select(F.col("o_orderkey").alias("job_id"), F.greatest(F.lit(1), F.lit(4) - F.left("o_orderpriority", F.lit(1)).cast("int")).alias("priority"), F.col("o_orderdate").alias("arrived"))
     return jobs.queue_order(x).select("job_id", F.col("priority").cast("bigint").alias("priority"), F.col("place").cast("bigint").alias("place"))
 
@@ -253,10 +260,10 @@ SQL = {
   s AS (SELECT *, length(head) + length(text) AS size, coalesce(sum(length(head) + length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h),
   p AS (SELECT conv_id, no, CASE WHEN before + size <= 2000 THEN head || text WHEN before <= 2000 AND 2000 - before > 100 THEN head || left(text, CAST(2000 - before - length(head) - 3 AS BIGINT)) || '...' END AS part FROM s)
   SELECT * FROM p WHERE part IS NOT NULL""",
-    "dedup_prefix100": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY left(text, 100) ORDER BY doc_id) = 1",
+    "dedup_prefix100": "SELECT doc_id, source FROM documents QUALIFY text IS NULL OR row_number() OVER (PARTITION BY left(text, 100) ORDER BY doc_id) = 1",
     "payment_sum_check": """WITH x AS (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS lines FROM lineitem GROUP BY l_orderkey)
   SELECT o_orderpriority, count(*) AS orders, count(*) FILTER (o_totalprice > 0 AND coalesce(lines, 0) > 0 AND abs(lines - o_totalprice) > 0.005) AS mismatches FROM orders LEFT JOIN x ON o_orderkey = l_orderkey GROUP BY o_orderpriority""",
-    "queue_order": "WITH q AS (SELECT o_orderkey AS job_id, CAST(greatest(1, 4 - CAST(left(o_orderpriority, 1) AS INT)) AS BIGINT) AS priority, o_orderdate FROM orders WHERE o_orderkey <= 2000) SELECT job_id, priority, row_number() OVER (ORDER BY priority DESC, o_orderdate, job_id) AS place FROM q",
+    "queue_order": "WITH q AS (SELECT o_orderkey AS job_id, CAST(greatest(1, 4 - CAST(left(o_orderpriority, 1) AS INT)) AS BIGINT) AS priority, o_orderdate FROM orders) SELECT job_id, priority, row_number() OVER (ORDER BY priority DESC, o_orderdate, job_id) AS place FROM q",
     "latency": "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type",
     "latency_histogram": "SELECT CAST(floor(value / 5) AS BIGINT) AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1",
     "pii_counts": "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}')) AS {n}" for n, p in privacy.PII) + " FROM documents",
