@@ -115,6 +115,34 @@ def jdbc_sink(options: dict[str, str]) -> Callable[[DataFrame], None]:
     return lambda batch: batch.write.format("jdbc").options(**options).mode("append").save()
 
 
+def jdbc_update(spark: SparkSession, options: dict[str, str], key: str) -> Callable[[DataFrame], None]:
+    """For with_retries(): sets the other columns of the rows that a batch's keys name; keys that the table lacks are passed over, and a batch may be run again.
+
+    A batch is sent in one transaction by the driver, in rows of a job each: for status changes, not for bulk loads.
+    """
+
+    def send(batch: DataFrame) -> None:
+        rest = [c for c in batch.columns if c != key]
+        jvm = spark._jvm
+        if "driver" in options:
+            jvm.java.lang.Class.forName(options["driver"], True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        link = jvm.java.sql.DriverManager.getConnection(options["url"], options.get("user", ""), options.get("password", ""))
+        try:
+            link.setAutoCommit(False)
+            quoted = lambda c: f'"{c}"'
+            statement = link.prepareStatement(f"UPDATE {options['dbtable']} SET {', '.join(quoted(c) + ' = ?' for c in rest)} WHERE {quoted(key)} = ?")
+            for row in batch.toLocalIterator():
+                for i, c in enumerate([*rest, key], 1):
+                    statement.setObject(i, row[c]) if row[c] is not None else statement.setNull(i, 12)
+                statement.addBatch()
+            statement.executeBatch()
+            link.commit()
+        finally:
+            link.close()
+
+    return send
+
+
 def windowed(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """An extension: counts and sums by window and type; events later than the watermark are dropped."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from leaselens.functions import geometry
 from leaselens.functions import text as tx
-from leaselens.operators import clauses, fields, jobs, layout, privacy, rules, search
+from leaselens.operators import clauses, documents, fields, jobs, layout, privacy, rules, search
 from leaselens.schemas import REGION
-from leaselens.sources import files, pixels, providers
+from leaselens.sources import files, images, pixels, providers
 from leaselens.streaming import jobs as stream
 
 
@@ -259,3 +259,147 @@ def test_korean_number_matches_a_loop(spark, chars):
                 total, held = total + held, 0
     got = spark.createDataFrame([("".join(chars),)], "v string").select(tx.korean_number(F.col("v")).alias("n")).first().n
     assert got == (total + held or None)
+
+
+def png(pixels, kind, filters):
+    """A PNG file of rows of bytes."""
+    import struct
+    import zlib
+
+    h, w = pixels.shape[:2]
+    chunk = lambda t, b: struct.pack(">I", len(b)) + t + b + struct.pack(">I", zlib.crc32(t + b))
+    step, raw, before = pixels.reshape(h, w, -1).shape[2], b"", np.zeros(w * pixels.reshape(h, w, -1).shape[2], int)
+    for y in range(h):
+        row = pixels[y].reshape(-1).astype(int)
+        left, f = np.concatenate([np.zeros(step, int), row[:-step]]), filters[y % len(filters)]
+        corner = np.concatenate([np.zeros(step, int), before[:-step]])
+        if f == 4:
+            p = left + before - corner
+            near = np.stack([abs(p - left), abs(p - before), abs(p - corner)])
+            guess = np.choose(near.argmin(0), [left, before, corner])
+        else:
+            guess = [0 * row, left, before, (left + before) // 2][f]
+        raw += bytes([f]) + ((row - guess) % 256).astype(np.uint8).tobytes()
+        before = row
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_images_are_decoded(spark):
+    rng = np.random.default_rng(0)
+    grey, rgb, rgba = rng.integers(0, 256, (9, 7), dtype=np.uint8), rng.integers(0, 256, (9, 7, 3), dtype=np.uint8), rng.integers(0, 256, (9, 7, 4), dtype=np.uint8)
+    assert (images.decode(png(grey, 0, [0, 1, 2, 3, 4])) == np.repeat(grey[..., None], 3, 2)).all()
+    assert (images.decode(png(rgb, 2, [4, 3, 1])) == rgb).all() and (images.decode(png(rgba, 6, [2])) == rgba[..., :3]).all()
+    assert (images.decode(b"P6\n7 9\n255\n" + rgb.tobytes()) == rgb).all() and (images.decode(b"P5 # note\n7 9 255\n" + grey.tobytes())[..., 0] == grey).all()
+    rows = [(1, png(rgb, 2, [0])), (2, b"not an image"), (3, None), (4, png(rgb, 2, [0])[:60])]
+    got = {r.id: r for r in images.decoded(spark.createDataFrame(rows, "id long, content binary"), "id", "content").collect()}
+    assert (got[1].width, got[1].height, got[1].error) == (7, 9, None) and got[1].pixels == rgb.tobytes()
+    assert got[2].error and got[4].error and got[3].pixels is None and got[3].error is None
+
+
+def test_pages_are_cleaned_and_their_cells_found(spark):
+    page = np.full((80, 120, 3), 255, np.uint8)
+    page[[10, 40, 70], 10:110] = 0
+    page[10:71, [10, 60, 109]] = 0
+    page[50:60, 70:90] = (220, 10, 20)
+    df = spark.createDataFrame([(1, png(page, 2, [1])), (2, b"x")], "id long, content binary")
+    clean = {r.id: r for r in images.cleaned(df, "id", "content").collect()}
+    assert (clean[1].width, clean[1].height) == (120, 80) and clean[2].error and np.frombuffer(clean[1].pixels, np.uint8).reshape(80, 120)[55, 80] > 200
+    cells = sorted((r.x, r.y, r.w, r.h) for r in images.cells(df, "id", "content").collect())
+    assert cells == [(10, 10, 50, 30), (10, 40, 50, 30), (60, 10, 49, 30), (60, 40, 49, 30)]
+
+
+def test_from_object_to_lease(spark):
+    """OCR words for one file, the parser's blocks for another, an answer that isn't a lease, a file that no one reads."""
+    quad = lambda x, y: {"vertices": [{"x": x, "y": y}, {"x": x + 9, "y": y}, {"x": x + 9, "y": y + 9}, {"x": x, "y": y + 9}]}
+    pages = json.dumps([{"width": 100, "height": 100, "words": [{"text": "임대인", "confidence": 0.9, "boundingBox": quad(1.0, 2.0)}, {"text": "홍길동", "confidence": 0.8, "boundingBox": quad(20.0, 3.0)}]}])
+    box = [{"x": a, "y": b} for a, b in ((0.1, 0.1), (0.5, 0.1), (0.5, 0.2), (0.1, 0.2))]
+    elements = json.dumps([{"category": "paragraph", "content": {"text": "보증금 1,000원"}, "coordinates": box}])
+    answer = '```json\n{"lessor": {"name": "홍길동"}, "lessee": {"name": "김"}, "property": {"address": "서울"}, "terms": {"deposit": "1,000"}}\n```'
+    ocr, parse = providers.stored({"a": pages}), providers.stored({"b": elements})
+    model = providers.stored({"임대인 홍길동": answer, "보증금 1,000원": "sorry"})
+    files = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], "doc_id string, content string")
+    got = {r.doc_id: r for r in documents.ocr_to_lease(files, ocr, parse, model).collect()}
+    assert got["1"].success and got["1"].full_text == "임대인 홍길동" and [w.text for w in got["1"].words] == ["임대인", "홍길동"]
+    assert json.loads(got["1"].validation)["is_valid"] and json.loads(got["1"].contract_data)["terms"]["deposit"] == 1000
+    assert got["2"].full_text == "보증금 1,000원" and got["2"].words is None and "lessor.name" in json.loads(got["2"].validation)["warnings"]
+    assert not got["3"].success and got["3"].full_text == ""
+
+
+def test_regions_and_cells_read_again(spark):
+    regions = spark.createDataFrame([("d", 0, "r0", 1, 2), ("d", 1, "r1", 3, 4)], "doc_id string, pos int, crop string, x int, y int")
+    got = documents.region_engine(regions, providers.stored({"r0": " 가 ", "r1": " "})).collect()
+    assert [(r.pos, r.text, r.confidence, r.engine) for r in got] == [(0, "가", 0.95, "trocr")]
+    cells = spark.createDataFrame([("a", "1"), ("b", "2")], "cell_id string, content string")
+    first = providers.stored({"1": '{"text": "x", "confidence": 0.9}', "2": '{"text": "y", "confidence": 0.3}'})
+    second = providers.stored({"2": '{"text": "z", "confidence": 0.8}'})
+    assert {(r.cell_id, r.text, r.confidence) for r in documents.cell_passes(cells, first, second).collect()} == {("a", "x", 0.9), ("b", "z", 0.8)}
+
+
+def test_database_rows_are_read_and_changed_by_key(spark, tmp_path):
+    """Spark's own Derby stands in for a database: updates of a batch change the rows that there are, and may be run again."""
+    options = files.jdbc_options(f"jdbc:derby:{tmp_path}/db;create=true", "jobs", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    spark.createDataFrame([(i, "QUEUED", None) for i in range(20)], "job_id long, status string, result string").write.format("jdbc").options(**options).mode("overwrite").save()
+    batch = spark.createDataFrame([(3, "COMPLETED", "{}"), (4, "FAILED", None), (99, "COMPLETED", "{}")], "job_id long, status string, result string")
+    for _ in range(2):
+        stream.jdbc_update(spark, options, "job_id")(batch)
+    got = {r["job_id"]: (r["status"], r["result"]) for r in files.jdbc_read(spark, options, "job_id", 0, 20, 3).toDF("job_id", "status", "result").collect()}
+    assert len(got) == 20 and got[3] == ("COMPLETED", "{}") and got[4] == ("FAILED", None) and got[5] == ("QUEUED", None)
+
+
+def test_rows_are_sent_and_failures_counted(spark, tmp_path):
+    def send(row):
+        if row["id"] == 2:
+            raise OSError("refused")
+        (tmp_path / str(row["id"])).write_text("sent")
+
+    failed = files.each_row(spark.range(4), send)
+    assert failed == 1 and sorted(p.name for p in tmp_path.iterdir()) == ["0", "1", "3"]
+
+
+def test_health_and_settings(spark, tmp_path):
+    assert files.health(spark)["status"] == "healthy"
+    path = tmp_path / "keys.yaml"
+    path.write_text("# keys\nupstage:\n  api_key: 'abc'  # ours\nopenai_key: \"d e\"\nempty:\n")
+    keys = files.yaml_settings(str(path))
+    assert keys == {"upstage.api_key": "abc", "openai_key": "d e"}
+    assert files.setting(spark, "openai_key", {}, keys) == "d e" and files.yaml_settings(str(tmp_path / "none.yaml")) == {}
+
+
+def test_postings_give_the_scan_s_ranking(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"Alpha {'beta ' * (i % 3)}gamma{i % 4} x{i}") for i in range(60)] + [(99, None)], "doc_id long, text string")
+    search.write_postings(docs, str(tmp_path / "p"), 8)
+    for query in (["beta"], ["alpha", "gamma1"], ["nothing"]):
+        assert search.bm25_of_postings(spark, str(tmp_path / "p"), query, 7, 8).collect() == search.bm25(docs, query, 7).collect()
+
+
+def test_blocks_of_queries_and_odd_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.integers(-3, 4, 4)]) for i in range(80)] + [(100, None), (101, [0.0] * 4), (102, [1.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = v.where("id < 30 or id > 99").withColumnRenamed("id", "query_id")
+    one = sorted(map(tuple, search.search(v, q, 3).collect()))
+    monkeypatch.setattr(search, "QUERY_ROWS", 7)
+    assert sorted(map(tuple, search.search(v, q, 3).collect())) == one and len(one) >= 80
+    unit = {i: np.array(e) / np.linalg.norm(e) for i, e in rows if e and np.linalg.norm(e) > 0 and len(e) == 4}
+    for query in (0, 7):
+        if query in unit:
+            best = sorted((-round(float(unit[query] @ u), 9), i) for i, u in unit.items())[:3]
+            assert [(r[1], r[2]) for r in one if r[0] == query] == [(i, -s) for s, i in sorted(best, key=lambda b: b[1])] or {r[1] for r in one if r[0] == query} == {i for _, i in best}
+    assert search.search(v, q.limit(0), 3).count() == 0
+
+
+def test_vectors_are_replaced_by_a_pointer(spark, tmp_path):
+    path = str(tmp_path / "c")
+    files.create_collection(spark, path)
+    row = lambda i, x: (i, [x], f"t{i}", {})
+    columns = spark.read.parquet(files.current(spark, path)).schema
+    for batch in ([row(1, 1.0), row(2, 2.0)], [row(2, 5.0)]):
+        files.upsert_vectors(spark, path, spark.createDataFrame(batch, columns))
+    got = {r[0]: r.embedding for r in spark.read.parquet(files.current(spark, path)).collect()}
+    assert got == {1: [1.0], 2: [5.0]} and files.collection_info(spark, path).first()["points"] == 2
+
+
+def test_the_first_in_are_the_first_out(spark):
+    kept = search.cached(spark.range(250).withColumnRenamed("id", "inserted"))
+    assert {r.inserted for r in kept.collect()} == set(range(150, 250))
+    assert search.dedup_prefix(spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a")], "doc_id long, text string"), F.col("doc_id")).count() == 3
