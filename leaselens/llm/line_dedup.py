@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Bloom, checkpointed, fresh, mix, small_batches, table
+from .common import U64, Bloom, checkpointed, fresh, give_back, mix, small_batches, table
 
 #: Parts in which the query inserts its documents.
 INCREMENTS = 2
@@ -147,6 +147,7 @@ def _probe(left: pa.Table, right: pa.Table) -> pa.Table:
     """Lines of a shard with known: whether its filter may hold them."""
     held = _filter_of(right)
     known = held.has(_hashes(left)) if held and len(left) else np.zeros(len(left), bool)
+    give_back()
     return left.drop_columns(["shard"]).append_column("known", pa.array(known))
 
 
@@ -159,6 +160,7 @@ def _renew(left: pa.Table, right: pa.Table) -> pa.Table:
         held.remove(h[change < 0])
     if not held or not held.add(h[change > 0]):
         held = Cuckoo.build(h[change >= 0])
+    give_back()
     return pa.table({"shard": pa.array([shard], pa.int32()), "buckets": pa.array([held.buckets], pa.int64()), "slots": pa.array([held.slots.tobytes()], pa.binary())})
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bloom, checkpointed, fresh, raw, slices, small_batches, strings, table, words
+from .common import Bloom, checkpointed, fresh, give_back, raw, slices, small_batches, strings, table, tidy, words
 
 FEATURES = ("upper", "symbols", "pipes", "exclaims", "digits", "repeats", "word_bytes", "stops", "log_words")
 #: Rows of each class that the fit may use, taken in hash order of doc_id; the only bound in this module.
@@ -77,7 +77,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def feature_table(docs: DataFrame) -> DataFrame:
     """doc_id and x, the FEATURES of its text; rows without doc_id or text have none."""
     own = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    return own.mapInArrow(_feature_rows, "doc_id bigint, x array<double>")
+    return own.mapInArrow(tidy(_feature_rows), "doc_id bigint, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -192,7 +192,9 @@ def score_column(model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        return pa.array(model.scores(features(strings(column))), mask=np.asarray(column.is_null()))
+        out = pa.array(model.scores(features(strings(column))), mask=np.asarray(column.is_null()))
+        give_back()
+        return out
 
     return score(text)
 

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import give_back, small_batches, table
 
 #: A file of ranks: a token in base64 and its rank on each line.
 VOCABULARY = os.environ.get("LEASELENS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -100,7 +100,8 @@ def lengths(encoder, texts: list[str | None], batch: int = BATCH_BYTES, piece: i
 
     def flush() -> None:
         nonlocal held
-        np.add.at(out, rows, [len(x) for x in encoder.encode_ordinary_batch(parts, num_threads=1)])
+        # arrays, of which only the lengths stay: lists of the tokens would take ten times the memory
+        np.add.at(out, rows, [len(encoder.encode_to_numpy(x, disallowed_special=())) for x in parts])
         rows.clear(), parts.clear()
         held = 0
 
@@ -123,6 +124,7 @@ def token_count(text: Column, ranks: Broadcast) -> Column:
         encoder = encoding(ranks.value)
         for batch in batches:
             yield pa.array(lengths(encoder, batch.to_pylist()), mask=np.asarray(batch.is_null()))
+            give_back()
 
     return count(text)
 
