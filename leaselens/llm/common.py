@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^ \t\n\x0B\f\r]+"
 U64 = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)

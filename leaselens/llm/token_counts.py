@@ -124,7 +124,10 @@ def token_count(text: Column, ranks: Broadcast) -> Column:
         encoder = encoding(ranks.value)
         for batch in batches:
             yield pa.array(lengths(encoder, batch.to_pylist()), mask=np.asarray(batch.is_null()))
-            give_back()
+        # a worker outlives its task: it is not to hold the vocabulary beside what the next stage needs
+        del encoder
+        _encoders.clear(), _apart.clear()
+        give_back()
 
     return count(text)
 
