@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +12,8 @@ from hypothesis import strategies as st
 
 from leaselens.llm import common, ngram_join, suffix_dedup
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def gram_set(text, n):
     w = text.encode().split()
@@ -201,3 +206,36 @@ def test_collisions_are_verified():
         suffix_dedup.words = real
     by = dict(zip(frag.tolist(), kind.tolist()))
     assert by[0] == by[1] != by[2]
+
+
+def test_pairs_of_many_sets_are_met_in_bounded_memory():
+    """40 tokens that the same 600 sets have: 7 million meetings, as of a large group of near copies, are counted in small batches and little memory."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from leaselens.llm import ngram_join
+sig = np.arange(600)
+lists = [np.column_stack([sig, np.full(600, 200 << 26 | 4 << 13 | 1)]).tobytes()] * 40
+rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(40, np.int64)), pa.array(np.arange(40)), pa.array(lists, pa.binary()), pa.array(np.zeros(40, np.int64))], ["leader", "token", "list", "part"])
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before, met, batches = peak(), 0, []
+for b in ngram_join._pairs(0.75)(iter([rows])):
+    met += sum(b["n"].to_pylist())
+    batches.append(len(b))
+print(met == 40 * 600 * 599 // 2, sum(batches) < 2 * 600 * 599 // 2, max(batches) <= 100_000, peak() - before < 200)
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT}, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == ["True"] * 4, done.stdout + done.stderr
+
+
+def test_a_home_of_many_sets_is_cut_into_cells(docs_of, monkeypatch):
+    """A group of near copies that share one least token: no bucket gets more of it than its bounds, and no pair is lost."""
+    monkeypatch.setattr(ngram_join, "VERIFY_BYTES", 40_000)
+    monkeypatch.setattr(ngram_join, "VERIFY_PAIRS", 200)
+    monkeypatch.setattr(ngram_join, "SETS_BYTES", 4000)
+    r = random.Random(3)
+    base = words(78, 120)
+    rows = [(i, edited(base, 0.01, r)) for i in range(120)] + [(i, words(i, 30)) for i in range(200, 230)]
+    join = ngram_join.Join(docs_of(rows), 2, 0.75)
+    cells = {r["bucket"]: r["count"] for r in join._cells().groupBy("bucket").count().collect()}
+    assert sum(cells.values()) == join.candidates.count() > 1000 and max(cells.values()) < 1000
+    assert {tuple(g) for g in join.doc_pairs().collect()} == brute_pairs(rows)
