@@ -58,6 +58,29 @@ def test_frequent_ngrams_keep_the_join_exact(docs_of, monkeypatch):
     assert {tuple(g) for g in ngram_join.similar_pairs(docs_of(rows)).collect()} == brute_pairs(rows)
 
 
+def brute_classes(rows):
+    sets = [(i, set(g)) for i, g in {(i, frozenset(gram_set(x, 2))) for i, x in rows if i is not None and x and gram_set(x, 2)}]
+    pairs = [(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[k + 1 :] if i != j and len(a & b) / len(a | b) >= 0.75]
+    root, before = {i: i for i, _ in rows if i is not None}, None
+    while root != before:
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return {(i, v, sum(i in p for p in pairs)) for i, v in root.items()}
+
+
+def test_classes_have_a_row_for_each_document(edges, edge_rows, docs_of, none):
+    """Copies, near copies, chains, several texts of a doc_id, and documents like no other: as many rows as documents, and no link lost."""
+    assert ngram_join.similar_classes(none).count() == 0
+    base, other = words(79, 60), words(80, 60)
+    rows = copies(12, 8, 10) + [(i, base) for i in range(900, 930)] + [(i, base + " tail") for i in range(930, 935)]
+    rows += [(950, base), (950, base + " end"), (950, other), (951, other), (952, None)]
+    for docs, own in ((edges, [r[:2] for r in edge_rows]), (docs_of(rows), rows)):
+        got = [tuple(g) for g in ngram_join.similar_classes(docs).collect()]
+        assert len(got) == len({i for i, _ in own if i is not None}) and set(got) == brute_classes(own)
+    assert {(900, 900, 36), (951, 900, 1), (952, 952, 0)} <= set(got)
+
+
 def test_keep_one_of_each_group(docs_of):
     rows = copies(4)
     root = {i: i for i, _ in rows}
