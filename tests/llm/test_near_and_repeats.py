@@ -262,3 +262,24 @@ def test_a_home_of_many_sets_is_cut_into_cells(docs_of, monkeypatch):
     cells = {r["bucket"]: r["count"] for r in join._cells().groupBy("bucket").count().collect()}
     assert sum(cells.values()) == join.candidates.count() > 1000 and max(cells.values()) < 1000
     assert {tuple(g) for g in join.doc_pairs().collect()} == brute_pairs(rows)
+
+
+def test_large_groups_are_verified_by_blocks(docs_of, monkeypatch):
+    """What long lists join gives no candidates, and blocks lose no link: copies, two near groups, and documents of several texts."""
+    monkeypatch.setattr(ngram_join, "LONG", 20)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 50)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 16)
+    monkeypatch.setattr(ngram_join, "DENSE_PAIRS", 300)
+    r = random.Random(5)
+    bases = [words(78, 90), words(79, 70)]
+    rows = [(i, edited(bases[i % 2], r.choice([0, 0.01, 0.03, 0.08]), r)) for i in range(160)] + [(i, words(i, 30)) for i in range(200, 220)]
+    rows += [(3, edited(bases[0], 0.02, r)), (3, edited(bases[0], 0.02, r)), (5, edited(bases[0], 0.01, r)), (7, words(7, 40))]
+    join = ngram_join.Join(docs_of(rows), 2, 0.75)
+    assert join.blocks.count() > 80 and join.candidates.count() < 400
+    assert {tuple(g) for g in join.doc_pairs().collect()} == brute_pairs(rows)
+    assert {tuple(g) for g in join.classes(docs_of(rows)).collect()} == brute_classes(rows)
+    kept = {i for i, v, _ in brute_classes(rows) if i == v}
+    assert {g.doc_id for g in ngram_join.keep_one(docs_of(rows)).collect()} == kept
+    monkeypatch.setattr(ngram_join, "SPREAD", 0)
+    loose = ngram_join.Join(docs_of(rows), 2, 0.75)
+    assert loose.candidates.count() > 1000 and {tuple(g) for g in loose.classes(docs_of(rows)).collect()} == brute_classes(rows)
