@@ -131,23 +131,146 @@ def vote(regions: DataFrame, strategy: str = "confidence_weighted", same: float
     return x.drop("_rank", "score", "text_first")
 
 
-def overlapping_pairs(boxes: DataFrame, least: float = 0.5, cell: int = 64) -> DataFrame:
-    """doc_id, a, b, iou: pairs of boxes of a page that overlap by more than least; joined by the grid cells that they touch.
+#: Candidate pairs that are compared at once, and the boxes of one place, or pairs of places, of a row.
+PAIRS, PLACE = 1_000_000, 1000
 
-    A pair is found once: in the cell of its intersection's upper left corner. Boxes of such an overlap are alike in size:
-    the larger area is less than 1 / least times the smaller. cell should be about the boxes' size.
+
+def _overlaps(least: float):
+    """Of rows (doc_id, strip, upper, pos, x, y, w, h) sorted by doc_id and strip, rows (doc_id, a, b, same, iou).
+
+    a and b are the pos of boxes in two places that overlap by more than least, all of a with all of b; or, if same, of one place.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def lists(pos, start, end):
+        """An array of the runs start to end of pos."""
+        many = end - start
+        at = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)).astype(np.int32)), pos.take(pa.array(at)))
+
+    def places(box, start):
+        """Runs of equal boxes: those that start at start, cut to PLACE, and the box of each."""
+        many = -(-np.diff(start) // PLACE)
+        part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        first = np.repeat(start[:-1], many) + part * PLACE
+        return first, np.minimum(first + PLACE, np.repeat(start[1:], many)), [v[first] for v in box]
+
+    def group(doc, upper, pos, box):
+        order = np.lexsort((*box[::-1], upper))
+        upper, box, pos = upper[order], [v[order] for v in box], pos.take(pa.array(order))
+        cut = int(np.searchsorted(upper, 1))
+        sides = []
+        for lo, hi in ((0, cut), (cut, len(upper))):
+            own = [v[lo:hi] for v in box]
+            new = np.zeros(hi - lo, bool)
+            new[:1] = True
+            for v in own:
+                new[1:] |= v[1:] != v[:-1]
+            sides.append(places(own, np.append(np.flatnonzero(new), hi - lo)))
+        (l0, l1, low), (u0, u1, up) = sides
+        u0, u1 = u0 + cut, u1 + cut
+        if not len(l0) or not len(u0):
+            return
+        # the lower box's x lies within what overlaps by more than least leave: places are in order of x
+        reach = np.minimum(up[2] / least, low[2].max())
+        lo, hi = np.searchsorted(low[0], up[0] - (1 - least) * reach, "left"), np.searchsorted(low[0], up[0] + (1 - least) * up[2], "right")
+        ends = np.cumsum(np.maximum(hi - lo, 0))
+        first = 0
+        while first < len(u0):
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+            many = np.maximum(hi[first:last] - lo[first:last], 0)
+            i = np.repeat(np.arange(first, last), many)
+            j = np.repeat(lo[first:last], many) + np.arange(len(i)) - np.repeat(ends[first:last] - many - done, many)
+            first = last
+            # of two boxes, the upper one has the lesser y, and of equal ones the lesser x, w, h
+            down = low[1][j] - up[1][i]
+            ok = (down >= 0) & (down <= (1 - least) * up[3][i])
+            i, j, down = i[ok], j[ok], down[ok]
+            level, before = np.flatnonzero(down == 0), np.zeros(len(i), bool)
+            before[down > 0] = True
+            open_ = np.ones(len(level), bool)
+            for k in (0, 2, 3):
+                p, q = up[k][i[level]], low[k][j[level]]
+                before[level] |= open_ & (p < q)
+                open_ &= p == q
+            same = np.zeros(len(i), bool)
+            same[level] = open_
+            ok = before | same
+            i, j, same = i[ok], j[ok], same[ok]
+            p, q = [v[i] for v in up], [v[j] for v in low]
+            wide, high = (np.minimum(p[k] + p[k + 2], q[k] + q[k + 2]) - np.maximum(p[k], q[k]) for k in (0, 1))
+            both = (wide * high).astype(float)
+            area = p[2] * p[3] + q[2] * q[3]
+            ok = np.flatnonzero((wide > 0) & (high > 0) & (both * (1 + least) > least * area))
+            i, j, same, iou = i[ok], j[ok], same[ok], both[ok] / (area[ok] - both[ok])
+            size = np.cumsum(u1[i] - u0[i] + l1[j] - l0[j])
+            at = 0
+            while at < len(i):
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PAIRS // 4, "right")))
+                x, y = i[at:end], j[at:end]
+                columns = [pa.array([doc]).take(pa.array(np.zeros(end - at, np.int64))) if doc is not None else pa.nulls(end - at), lists(pos, u0[x], u1[x]), lists(pos, l0[y], l1[y]), pa.array(same[at:end]), pa.array(iou[at:end])]
+                yield columns
+                at = end
+
+    def run(batches):
+        held = []
+
+        def whole(table):
+            table = table.combine_chunks()
+            doc, strip = table["doc_id"].combine_chunks(), table["strip"].to_numpy()
+            codes = doc.dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (strip[1:] != strip[:-1])]))
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(strip)]):
+                part = table.slice(lo, hi - lo)
+                box = [part[c].to_numpy() for c in BOX]
+                for columns in group(doc[lo].as_py(), part["upper"].to_numpy(), part["pos"].combine_chunks(), box):
+                    columns[0] = columns[0].cast(doc.type)
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "a", "b", "same", "iou"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(pa.Table.from_batches([b]))
+            key = lambda t, k: (t["doc_id"][k], t["strip"][k])
+            if key(held[0], 0) != key(held[-1], -1):  # all but the last strip is whole
+                x = pa.concat_tables(held).combine_chunks()
+                doc, strip = x["doc_id"].combine_chunks().dictionary_encode().indices.to_numpy(), x["strip"].to_numpy()
+                cut = int(np.flatnonzero((doc != doc[-1]) | (strip != strip[-1]))[-1]) + 1
+                yield from whole(x.slice(0, cut))
+                held = [x.slice(cut)]
+        if held:
+            yield from whole(pa.concat_tables(held))
+
+    return run
+
+
+def overlapping_pairs(boxes: DataFrame, least: float = 0.5, cell: int = 64, places: int | None = None) -> DataFrame:
+    """doc_id, a, b, iou: pairs of boxes of a page that overlap by more than least; joined by the strips, of half a cell's height, that they touch.
+
+    A pair is found once: in the strip where the lower box begins, with the upper ones whose tops reach it. In a strip, boxes
+    are compared in windows of x, and boxes of one place once for all; only then are they paired one by one. Boxes of such an overlap
+    are alike in size: a side and the shift along it are bounded by the other's. cell should be about the boxes' size.
+    iou is rounded to that many places, before boxes of one place are told apart.
     """
-    edge = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size)) / cell))
-    x = boxes.select("doc_id", "pos", *BOX, (F.col("w") * F.col("h")).alias("area")).withColumn("cx", F.explode(edge("x", "w"))).withColumn("cy", F.explode(edge("y", "h")))
-    y = x.select(*(F.col(c).alias(f"{c}_b") for c in x.columns))
-    left, top = F.greatest("x", "x_b"), F.greatest("y", "y_b")
-    wide, high = F.least(F.col("x") + F.col("w"), F.col("x_b") + F.col("w_b")) - left, F.least(F.col("y") + F.col("h"), F.col("y_b") + F.col("h_b")) - top
-    both = (wide * high).cast("double")
-    on = (F.col("doc_id") == F.col("doc_id_b")) & (F.col("cx") == F.col("cx_b")) & (F.col("cy") == F.col("cy_b")) & (F.col("pos") < F.col("pos_b"))
-    # the first conditions spare most pairs the rest
-    near = (wide > 0) & (high > 0) & (F.least("area", "area_b") > least * F.greatest("area", "area_b")) & (both * (1 + least) > least * (F.col("area") + F.col("area_b")))
-    once = (F.floor(left / cell) == F.col("cx")) & (F.floor(top / cell) == F.col("cy"))
-    return x.join(y, on & near & once).select("doc_id", F.col("pos").alias("a"), F.col("pos_b").alias("b"), (both / (F.col("area") + F.col("area_b") - both)).alias("iou"))
+    kinds = dict(boxes.dtypes)
+    number = "bigint" if all(kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in BOX) else "double"
+    x = boxes.select("doc_id", "pos", *(F.col(c).cast(number).alias(c) for c in BOX)).where("doc_id is not null and pos is not null and w > 0 and h > 0")
+    if number == "double":
+        x = x.where(" and ".join(f"abs({c}) < double('infinity')" for c in BOX))
+    strip = lambda y: F.floor(y * 2 / cell)
+    own = x.withColumns({"strip": strip(F.col("y")), "upper": F.lit(0)})
+    over = x.withColumns({"strip": F.explode(F.sequence(strip(F.col("y")), strip(F.col("y") + (1 - least) * F.col("h")))), "upper": F.lit(1)})
+    rows = own.unionByName(over).select("doc_id", "strip", "upper", "pos", *BOX)
+    parts = 8 * boxes.sparkSession.sparkContext.defaultParallelism
+    met = rows.repartition(parts, "doc_id", "strip").sortWithinPartitions("doc_id", "strip")
+    found = met.mapInArrow(_overlaps(least), f"doc_id {kinds['doc_id']}, a array<{kinds['pos']}>, b array<{kinds['pos']}>, same boolean, iou double")
+    if places is not None:
+        found = found.withColumn("iou", F.round("iou", places))
+    each = found.select("doc_id", F.explode("a").alias("a"), "b", "same", "iou").select("doc_id", "a", F.explode("b").alias("b"), "same", "iou")
+    each = each.where("a <> b and (a < b or not same)")
+    return each.select("doc_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "iou")
 
 
 def engine_report(regions: DataFrame, truth: DataFrame | None = None) -> DataFrame:

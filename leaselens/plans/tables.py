@@ -188,7 +188,7 @@ def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
         (F.col("o_custkey") % 40).alias("doc_id"), F.col("o_orderkey").alias("pos"),
         (F.col("o_orderkey") * 37 % 900).alias("x"), (F.col("o_custkey") * 53 % 1100).alias("y"), (40 + F.col("o_orderkey") % 60).alias("w"), (30 + F.col("o_custkey") % 50).alias("h"),
     )
-    return layout.overlapping_pairs(x).select("doc_id", "a", "b", F.round("iou", 6).alias("iou"))
+    return layout.overlapping_pairs(x, places=6).select("doc_id", "a", "b", "iou")
 
 
 def rows_json(spark: SparkSession, d: str) -> DataFrame:

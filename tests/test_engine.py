@@ -1,4 +1,5 @@
 import json
+import random
 import time
 
 import numpy as np
@@ -45,6 +46,26 @@ def test_kept_boxes_don_t_overlap(spark):
     assert layout.confident(df, 0.5).where("confidence < 0.5").count() == 0
 
 
+def test_overlaps_of_equal_boxes_and_many_sizes(spark, monkeypatch):
+    """Places of many equal boxes are paired once for all, and no pair is lost or told twice; negative places and broken numbers, too."""
+    monkeypatch.setattr(layout, "PLACE", 7)
+    monkeypatch.setattr(layout, "PAIRS", 200)
+    r = random.Random(4)
+    for scale in (1, 1.5):
+        rows = [(r.choice(["p", "q"]), r.randint(1, 10**6), *(scale * v for v in r.choice([(3, 3, 40, 40), (-70, -5, 9, 300), (r.randint(-90, 90), r.randint(-90, 90), r.randint(0, 120), r.randint(0, 120))]))) for _ in range(400)]
+        kind = "long" if scale == 1 else "double"
+        want = set()
+        for i, a in enumerate(rows):
+            for b in rows[i + 1 :]:
+                wide, high = (min(a[k] + a[k + 2], b[k] + b[k + 2]) - max(a[k], b[k]) for k in (2, 3))
+                if a[0] == b[0] and a[1] != b[1] and wide > 0 and high > 0 and (iou := wide * high / (a[4] * a[5] + b[4] * b[5] - wide * high)) > 0.5:
+                    want.add((a[0], *sorted((a[1], b[1])), round(iou, 9)))
+        df = spark.createDataFrame([*rows, (None, 1, *rows[0][2:]), ("p", None, *rows[0][2:])], f"doc_id string, pos int, x {kind}, y {kind}, w {kind}, h {kind}")
+        got = [(g.doc_id, g.a, g.b, round(g.iou, 9)) for g in layout.overlapping_pairs(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 5000
+        assert dict(layout.overlapping_pairs(df).dtypes) == {"doc_id": "string", "a": "int", "b": "int", "iou": "double"}
+
+
 def brute_leaders(rows):
     def over(a, b):
         w = min(a[5] + a[7], b[5] + b[7]) - max(a[5], b[5])
