@@ -26,10 +26,12 @@ def clauses(lines: DataFrame, id_: str = "doc_id") -> DataFrame:
     line = F.col("line")
     like = lambda p: F.regexp_like(line, F.lit(p))
     x = lines.withColumn("is_article", like(ARTICLE)).withColumn("is_paragraph", ~F.col("is_article") & like(PARAGRAPH))
-    order = Window.partitionBy(id_).orderBy("pos")
-    x = x.withColumn("article_no", F.sum(F.col("is_article").cast("int")).over(order))
-    of = Window.partitionBy(id_, "article_no").orderBy("pos")
-    x = x.withColumn("paragraph_no", F.sum(F.col("is_paragraph").cast("int")).over(of))
+    # all in one order, sorted once: an article's paragraphs are those so far but for those before it
+    order, peers = Window.partitionBy(id_).orderBy("pos"), Window.partitionBy(id_, "pos")
+    x = x.withColumns({"article_no": F.sum(F.col("is_article").cast("int")).over(order), "so_far": F.sum(F.col("is_paragraph").cast("int")).over(order)})
+    before = F.col("so_far") - F.sum(F.col("is_paragraph").cast("int")).over(peers)
+    x = x.withColumn("before", F.when(F.col("is_article"), before))
+    x = x.withColumn("paragraph_no", F.col("so_far") - F.coalesce(F.max("before").over(order), F.lit(0)))
     level = F.when(F.col("is_article"), 0).when(F.col("article_no") > 0, F.when(F.col("is_paragraph"), 1).when((F.col("paragraph_no") > 0) & like(ITEM), 2))
     part = lambda p, i: F.regexp_extract(line, p, i)
     mark, body = part(PARAGRAPH, 1), part(PARAGRAPH, 2)

@@ -66,6 +66,18 @@ def test_overlaps_of_equal_boxes_and_many_sizes(spark, monkeypatch):
         assert dict(layout.overlapping_pairs(df).dtypes) == {"doc_id": "string", "a": "int", "b": "int", "iou": "double"}
 
 
+def test_clauses_are_sorted_once(spark):
+    """One sort serves both numbers; lines of one place are numbered together."""
+    rows = [(1, 0, "② 앞"), (1, 1, "제1조 (가) 나"), (1, 2, "이어지는 줄"), (1, 3, "① 다"), (1, 4, "1호 라"), (1, 5, "제2조 (마) 바"), (1, 6, "2호 빠짐"), (1, 7, "3. 사"), (1, 8, None), (2, 0, "제9조 (아) 자"), (2, 0, "1. 차"), (2, 1, "2. 카")]
+    got = clauses.clauses(spark.createDataFrame(rows, "doc_id long, pos long, line string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+    assert sorted((r.doc_id, r.pos, r.level, r.article_no, r.paragraph_no, r.number) for r in got.collect()) == [
+        (1, 1, 0, 1, 0, "제1조"), (1, 3, 1, 1, 1, "①항"), (1, 4, 2, 1, 1, "1호"), (1, 5, 0, 2, 0, "제2조"), (1, 7, 1, 2, 1, "3항"),
+        (2, 0, 0, 1, 1, "제9조"), (2, 0, 1, 1, 1, "1항"), (2, 1, 1, 1, 2, "2항"),
+    ]
+
+
 def brute_leaders(rows):
     def over(a, b):
         w = min(a[5] + a[7], b[5] + b[7]) - max(a[5], b[5])
