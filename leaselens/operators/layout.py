@@ -112,23 +112,32 @@ def vote(regions: DataFrame, strategy: str = "confidence_weighted", same: float
     majority: the commonest text (first seen on ties), its most confident region. confidence_weighted: the text of the
     greatest summed confidence, its first region. trocr_priority: the first of trocr, else the most confident.
     """
+    return votes(regions, (strategy,), same).drop("strategy")
+
+
+def votes(regions: DataFrame, strategies: tuple[str, ...], same: float = 0.5) -> DataFrame:
+    """vote() of several strategies, a column more; the groups, which cost most, are found once."""
     x = leader_groups(regions, same)
+    columns = x.columns
     group, text = Window.partitionBy("doc_id", "leader"), Window.partitionBy("doc_id", "leader", "text")
-    x = x.withColumn("text_first", F.min("pos").over(text))
-    if strategy == "majority":
-        order = [F.desc("score"), F.asc("text_first"), F.desc("confidence"), F.asc("pos")]
-        x = x.withColumn("score", F.count("*").over(text).cast("double"))
-    elif strategy == "confidence_weighted":
-        order = [F.desc("score"), F.asc("text_first"), F.asc("pos")]
-        x = x.withColumn("score", F.round(F.sum("confidence").over(text), 9))
-    elif strategy == "trocr_priority":
-        trocr = F.col("engine") == "trocr"
-        order = [F.desc("score"), F.when(trocr, F.col("pos")).asc_nulls_last(), F.desc("confidence"), F.asc("pos")]
-        x = x.withColumn("score", trocr.cast("double"))
-    else:
-        raise ValueError(strategy)
-    x = x.withColumn("_rank", F.row_number().over(group.orderBy(*order))).where("_rank = 1")
-    return x.drop("_rank", "score", "text_first")
+    trocr = F.col("engine") == "trocr"
+    added, orders = {}, {}
+    for strategy in strategies:
+        if strategy == "majority":
+            added |= {"_first": F.min("pos").over(text), "_count": F.count("*").over(text).cast("double")}
+            orders[strategy] = [F.desc("_count"), F.asc("_first"), F.desc("confidence"), F.asc("pos")]
+        elif strategy == "confidence_weighted":
+            added |= {"_first": F.min("pos").over(text), "_sum": F.round(F.sum("confidence").over(text), 9)}
+            orders[strategy] = [F.desc("_sum"), F.asc("_first"), F.asc("pos")]
+        elif strategy == "trocr_priority":
+            orders[strategy] = [F.desc(trocr.cast("double")), F.when(trocr, F.col("pos")).asc_nulls_last(), F.desc("confidence"), F.asc("pos")]
+        else:
+            raise ValueError(strategy)
+    x = x.withColumns(added) if added else x
+    for i, order in enumerate(orders.values()):
+        x = x.withColumn(f"_rank{i}", F.row_number().over(group.orderBy(*order)))
+    won = F.array_compact(F.array(*(F.when(F.col(f"_rank{i}") == 1, s) for i, s in enumerate(orders))))
+    return x.select(*columns, F.explode(won).alias("strategy"))
 
 
 #: Candidate pairs that are compared at once, and the boxes of one place, or pairs of places, of a row.

@@ -149,9 +149,8 @@ def merged_nms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def voting(spark: SparkSession, d: str) -> DataFrame:
-    r = made(spark, d, "boxes")
-    parts = [layout.vote(r, s).select("doc_id", F.lit(s).alias("strategy"), F.col("leader").cast("bigint").alias("leader"), "text", "confidence") for s in ("majority", "confidence_weighted", "trocr_priority")]
-    return parts[0].union(parts[1]).union(parts[2])
+    x = layout.votes(made(spark, d, "boxes"), ("majority", "confidence_weighted", "trocr_priority"))
+    return x.select("doc_id", "strategy", F.col("leader").cast("bigint").alias("leader"), "text", "confidence")
 
 
 def engine_reports(spark: SparkSession, d: str) -> DataFrame:

@@ -78,6 +78,18 @@ def test_clauses_are_sorted_once(spark):
     ]
 
 
+def test_votes_find_their_groups_once(spark):
+    """All strategies' votes are those of each alone, from one pass over the boxes."""
+    r = random.Random(6)
+    rows = [(d, p, r.choice(["trocr", "paddle", "easy"]), r.choice("abc"), r.randint(1, 9) / 10, r.randint(0, 4) * 3, 0, 10, 10) for d in range(12) for p in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, engine string, text string, confidence double, x int, y int, w int, h int")
+    names = ("majority", "confidence_weighted", "trocr_priority")
+    got = layout.votes(df, names)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
+    one = {(n, *v) for n in names for v in layout.vote(df, n).collect()}
+    assert {(v[-1], *v[:-1]) for v in got.collect()} == one and len(one) == got.count()
+
+
 def brute_leaders(rows):
     def over(a, b):
         w = min(a[5] + a[7], b[5] + b[7]) - max(a[5], b[5])
